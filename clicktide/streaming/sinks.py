@@ -69,13 +69,17 @@ def upsert_batches(target: str, stamp: str) -> BatchWriter:
 
 
 def read_upserts(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
-    """The current row of every key."""
-    changes = spark.read.option("basePath", f"{target}/changes").parquet(f"{target}/changes")
-    folded = _last_snapshot(spark, target)
+    """The current row of every key, from complete batches only."""
+    upto = _newest(spark, f"{target}/changes/batch_id=*")
+    if upto is None:
+        raise FileNotFoundError(f"no complete batch in {target}")
+    changes = spark.read.parquet(f"{target}/changes").where(F.col("batch_id") <= upto)
+    folded = _newest(spark, f"{target}/snapshots/upto=*")
     if folded is not None:
+        number = changes.schema["batch_id"].dataType
         snapshot = spark.read.parquet(f"{target}/snapshots/upto={folded}")
         changes = changes.where(F.col("batch_id") > folded).unionByName(
-            snapshot.withColumn("batch_id", F.lit(folded).cast(changes.schema["batch_id"].dataType))
+            snapshot.withColumn("batch_id", F.lit(folded).cast(number))
         )
     values = [c for c in changes.columns if c not in keys and c != "batch_id"]
     return (
@@ -86,26 +90,22 @@ def read_upserts(spark: SparkSession, target: str, keys: list[str]) -> DataFrame
 
 
 def compact_upserts(spark: SparkSession, target: str, keys: list[str]) -> int:
-    """Fold all changes so far into a snapshot; returns the last batch in it.
+    """Fold all complete batches into a snapshot; returns the last one in it.
 
-    A snapshot counts once its success marker is written, so readers see the
-    old state or the new one.  The stream may go on meanwhile.
+    Readers use the newest snapshot that is complete and the batches after it,
+    so the stream may go on meanwhile.
     """
-    changes = spark.read.option("basePath", f"{target}/changes").parquet(f"{target}/changes")
-    upto = changes.agg(F.max("batch_id")).first()[0]
-    if upto is None:  # only empty batches so far
-        return -1
-    read_upserts(spark, target, keys).write.mode("overwrite").parquet(
-        f"{target}/snapshots/upto={upto}"
-    )
+    upto = _newest(spark, f"{target}/changes/batch_id=*")
+    current = read_upserts(spark, target, keys)
+    current.write.mode("overwrite").parquet(f"{target}/snapshots/upto={upto}")
     return upto
 
 
-def _last_snapshot(spark, target):
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/snapshots/upto=*/_SUCCESS")
-    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    done = [int(f.getPath().getParent().getName().split("=")[1]) for f in files or []]
-    return max(done, default=None)
+def _newest(spark, pattern):
+    """Highest number among the folders whose success marker is written."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    files = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker)
+    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in files), default=None)
 
 
 # --- failures ---------------------------------------------------------------
