@@ -67,11 +67,26 @@ def _messages(spark, sf_dir):
 
 
 def _error_records(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select(
+    """An error message per event, worded by its type, and one per document."""
+    kind = F.col("event_type")
+    wording = (
+        F.when(kind == "view", "JSON parse error")
+        .when(kind == "click", "Connection timeout")
+        .when(kind == "signup", "read TIMEOUT")
+        .when(kind == "purchase", "duplicate key")
+        .otherwise("boom")
+    )
+    of_events = _table(spark, sf_dir, "events").select(
+        F.concat_ws(" ", wording, F.lit("at"), "props").alias("error_message"),
+        F.col("event_id").alias("batch_id"),
+        F.col("props").alias("raw_data"),
+    )
+    of_documents = _table(spark, sf_dir, "documents").select(
         F.col("text").alias("error_message"),
         F.col("doc_id").alias("batch_id"),
         F.to_json(F.struct("lang", "source")).alias("raw_data"),
     )
+    return of_events.unionByName(of_documents)
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -404,12 +419,12 @@ def item_similarity_blocked(spark, sf_dir):
 
 def item_neighbours(spark, sf_dir):
     ratings = recommend.user_item_ratings(_clicks(spark, sf_dir))
-    return recommend.item_neighbours(recommend.item_similarity(ratings))
+    return recommend.item_neighbours(ratings)
 
 
 def purchase_item_neighbours(spark, sf_dir):
     ratings = recommend.user_item_ratings(_purchases(spark, sf_dir))
-    return recommend.item_neighbours(recommend.item_similarity(ratings))
+    return recommend.item_neighbours(ratings)
 
 
 def recommend_users(spark, sf_dir):

@@ -2,12 +2,23 @@
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clicktide import schema as S
 
 
+def add_once(df: DataFrame, value: Column, name: str | None = None) -> DataFrame:
+    """Add a costly value, computed one time per row.
+
+    The optimizer copies an expression into every filter that uses it.  It does
+    not look through a generator, so a one-element one keeps it in one place.
+    Without a name, ``value`` is a struct whose fields become columns.
+    """
+    one = F.array(value)
+    return df.select("*", F.explode(one).alias(name) if name else F.inline(one))
+
+
 def event_time(ms="timestamp") -> Column:
     """Epoch milliseconds as an instant, milliseconds kept."""
     return F.timestamp_millis(F.col(ms))
@@ -72,9 +83,10 @@ def transaction_number(text="transactionid") -> Column:
     return F.expr(f"cast(try_cast(`{text}` AS decimal(38, 6)) AS bigint)")
 
 
-def error_class(message="error_message") -> Column:
-    """Struct (error_type, severity) of the first class whose words occur."""
-    text = F.lower(F.col(message))
+def error_class(lowered: str) -> Column:
+    """Struct (error_type, severity) of the first class whose words occur in a
+    message that is already in lower case."""
+    text = F.col(lowered)
     verdict = F
     for words, kind, severity in S.ERROR_CLASSES:
         hit = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])

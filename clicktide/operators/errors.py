@@ -6,18 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktide import schema as S
-from clicktide.functions.columns import error_class
+from clicktide.functions.columns import add_once, error_class
 from clicktide.plans.scratch import exists
 
 
 def classify_errors(df: DataFrame, message_col: str = "error_message") -> DataFrame:
     """Add ``error_type`` and ``severity``."""
-    return (
-        df.withColumn("_class", error_class(message_col))
-        .withColumn("error_type", F.col("_class.error_type"))
-        .withColumn("severity", F.col("_class.severity"))
-        .drop("_class")
-    )
+    lowered = add_once(df, F.lower(message_col), "_lowered")
+    return add_once(lowered, error_class("_lowered")).drop("_lowered")
 
 
 def error_events(df: DataFrame) -> DataFrame:

@@ -82,8 +82,7 @@ def windowed_stats(
 
 def _pane(slide_ms):
     # a pane is one slide long; a window covers the panes start .. start + k - 1
-    ts = F.col("timestamp")
-    return ((ts - F.pmod(ts, F.lit(slide_ms))) / slide_ms).cast("long").alias("pane")
+    return F.expr(f"(timestamp - pmod(timestamp, {slide_ms}L)) div {slide_ms}L").alias("pane")
 
 
 def _starts(k):
@@ -97,19 +96,19 @@ def _windows_exact(clicks, k, slide_ms):
     # distinct counts become plain sums.
     sides = F.explode(
         F.array(
-            F.struct(F.lit("user").alias("side"), F.col("visitorid").alias("who")),
-            F.struct(F.lit("item").alias("side"), F.col("itemid").alias("who")),
+            F.struct(F.lit(True).alias("user"), F.col("visitorid").alias("who")),
+            F.struct(F.lit(False).alias("user"), F.col("itemid").alias("who")),
         )
     ).alias("s")
     panes = (
         clicks.select("event", _pane(slide_ms), sides)
-        .groupBy("event", "s.side", "s.who", "pane")
+        .groupBy("event", "s.user", "s.who", "pane")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    before = F.lag("pane").over(Window.partitionBy("event", "side", "who").orderBy("pane"))
-    spread = panes.withColumn("before", before).select("event", "side", "who", "before", "n", _starts(k))
+    before = F.lag("pane").over(Window.partitionBy("event", "user", "who").orderBy("pane"))
+    spread = panes.withColumn("before", before).select("event", "user", "who", "before", "n", _starts(k))
     fresh = F.col("who").isNotNull() & (F.col("before").isNull() | (F.col("start") > F.col("before")))
-    user = F.col("side") == "user"
+    user = F.col("user")
     return spread.groupBy("start", "event").agg(
         F.sum(F.when(user, F.col("n"))).alias("event_count"),
         F.count_if(user & fresh).alias("unique_users"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clicktide import schema as S
-from clicktide.functions.columns import event_time, transaction_number
+from clicktide.functions.columns import add_once, event_time, transaction_number
 
 _CORRUPT = "_corrupt_record"
 
@@ -68,18 +68,14 @@ def parse_events(df: DataFrame, value_col: str = "value") -> tuple[DataFrame, Da
     malformed text, so a NULL test on the struct alone would let it through.
     """
     schema = T.StructType([*S.EVENT_MESSAGE.fields, T.StructField(_CORRUPT, T.StringType())])
-    text = F.col(value_col).cast("string")
-    parsed = df.select(
-        text.alias("raw_message"),
-        F.from_json(text, schema, {"columnNameOfCorruptRecord": _CORRUPT}).alias("data"),
-    )
-    data = F.col("data")
-    present = reduce(lambda a, b: a & b, [data[c].isNotNull() for c in S.REQUIRED_EVENT_COLUMNS])
-    good = F.coalesce(data.isNotNull() & data[_CORRUPT].isNull() & present, F.lit(False))
-    fields = [f"data.{f.name}" for f in S.EVENT_MESSAGE]
+    messages = df.select(F.col(value_col).cast("string").alias("raw_message"))
+    data = F.from_json("raw_message", schema, {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = add_once(messages, data)
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in S.REQUIRED_EVENT_COLUMNS])
+    good = present & F.col(_CORRUPT).isNull()
     valid = (
         parsed.where(good)
-        .select(*fields)
+        .select(*S.EVENT_MESSAGE.names)
         .withColumn("transactionid", transaction_number())
         .withColumn("event_time", event_time())
     )

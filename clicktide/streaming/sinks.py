@@ -82,11 +82,7 @@ def read_upserts(spark: SparkSession, target: str, keys: list[str]) -> DataFrame
             snapshot.withColumn("batch_id", F.lit(folded).cast(number))
         )
     values = [c for c in changes.columns if c not in keys and c != "batch_id"]
-    return (
-        changes.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("row"))
-        .select(*keys, *[F.col(f"row.{c}").alias(c) for c in values])
-    )
+    return changes.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
 
 
 def compact_upserts(spark: SparkSession, target: str, keys: list[str]) -> int:

@@ -228,13 +228,20 @@ def _classified():
     def says(*words):
         return " OR ".join(f"contains(lower(text), '{w}')" for w in words)
 
-    return f"""errors AS (
-      SELECT doc_id AS batch_id, text, lang, source,
+    return f"""messages AS (
+      SELECT event_id AS batch_id, props AS raw_data,
+        CASE event_type WHEN 'view' THEN 'JSON parse error' WHEN 'click' THEN 'Connection timeout'
+             WHEN 'signup' THEN 'read TIMEOUT' WHEN 'purchase' THEN 'duplicate key'
+             ELSE 'boom' END || ' at ' || props AS text FROM events
+      UNION ALL
+      SELECT doc_id, '{{"lang":"' || lang || '","source":"' || source || '"}}', text FROM documents),
+    errors AS (
+      SELECT *,
         CASE WHEN {says('json', 'parse')} THEN 'json_parse'
              WHEN {says('connect')} THEN 'db_connection'
              WHEN {says('timeout')} THEN 'timeout'
              WHEN {says('constraint', 'duplicate')} THEN 'constraint_violation'
-             ELSE 'unknown' END AS error_type FROM documents),
+             ELSE 'unknown' END AS error_type FROM messages),
     classified AS (
       SELECT *, CASE error_type WHEN 'json_parse' THEN 'INFO' WHEN 'db_connection' THEN 'CRITICAL'
                   WHEN 'timeout' THEN 'WARNING' ELSE 'ERROR' END AS severity FROM errors)"""
@@ -280,7 +287,7 @@ def checks():
         "error_events": _with(
             _classified(),
             """SELECT error_type, left(text, 1000) AS error_message, severity,
-                      '{"lang":"' || lang || '","source":"' || source || '"}' AS raw_data, batch_id,
+                      raw_data, batch_id,
                       CAST(0 AS BIGINT) AS retry_count, 'pending' AS status FROM classified""",
         ),
         "error_alerts": _with(
