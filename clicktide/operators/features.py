@@ -117,30 +117,29 @@ def split_by_time(clicks: DataFrame, test_size: float = S.TEST_SIZE) -> tuple[Da
 def split_summary(train: DataFrame, test: DataFrame) -> DataFrame:
     """Sizes and shares of both parts, their visitors and the visitors in both."""
 
-    def sizes(df, part):
-        return df.agg(
-            F.count(F.lit(1)).alias(f"{part}_events"),
-            F.count_distinct("visitorid").alias(f"{part}_users"),
-        )
-
-    both = train.select("visitorid").intersect(test.select("visitorid")).agg(
-        F.count(F.lit(1)).alias("common_users")
+    def tagged(df, is_test):
+        return df.select("visitorid", F.lit(is_test).alias("is_test"))
+
+    test_row = F.col("is_test")
+    per_visitor = (
+        tagged(train, False).unionByName(tagged(test, True))
+        .groupBy("visitorid")
+        .agg(F.count_if(~test_row).alias("in_train"), F.count_if(test_row).alias("in_test"))
     )
+    trained, tested = F.col("in_train") > 0, F.col("in_test") > 0
     rows = F.col("train_events") + F.col("test_events")
     hundred = F.lit(100.0)
-    # three single-row frames side by side
-    return (
-        sizes(train, "train").join(sizes(test, "test"), F.lit(True)).join(both, F.lit(True))
-        .select(
-            "train_events",
-            "test_events",
-            (hundred * fraction_or_zero("train_events", rows)).alias("train_percent"),
-            (hundred * fraction_or_zero("test_events", rows)).alias("test_percent"),
-            "train_users",
-            "test_users",
-            "common_users",
-            (hundred * fraction_or_zero("common_users", "test_users")).alias("common_percent"),
-        )
+    return per_visitor.agg(
+        F.coalesce(F.sum("in_train"), F.lit(0)).alias("train_events"),
+        F.coalesce(F.sum("in_test"), F.lit(0)).alias("test_events"),
+        F.count_if(trained).alias("train_users"),
+        F.count_if(tested).alias("test_users"),
+        F.count_if(trained & tested).alias("common_users"),
+    ).select(
+        "*",
+        (hundred * fraction_or_zero("train_events", rows)).alias("train_percent"),
+        (hundred * fraction_or_zero("test_events", rows)).alias("test_percent"),
+        (hundred * fraction_or_zero("common_users", "test_users")).alias("common_percent"),
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 # Keys joined by broadcast.  Any key below the cut owns at most 1/HOT_KEYS of
 # the rows, and the broadcast table never has more than HOT_KEYS rows.
 HOT_KEYS = 1024
-SALTS = 64
 
 
 def lookup_join(
@@ -16,28 +15,28 @@ def lookup_join(
     weight: str,
     spread_by: list[str],
     hot_keys: int = HOT_KEYS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Left join of ``big`` with a table that has one row per ``key``.
 
     ``weight`` is the number of rows (or anything that grows with it) that the
-    key has in ``big``.  The heaviest keys meet their table row by broadcast;
-    their rows then take a salted key, so the shuffle for the remaining keys
-    spreads them evenly instead of sending each hot key to one task.
+    key has in ``big``.  The heaviest keys meet their table row by broadcast.
+    Their rows then carry a second key drawn from ``spread_by``, so the shuffle
+    for the remaining keys deals them out over all tasks.
     """
     columns = [c for c in table.columns if c != key]
     row = F.struct(*columns)
+    table = table.where(F.col(key).isNotNull())  # lets both uses share one shuffle
     hot = (
         table.orderBy(F.desc(weight), F.col(key))
         .limit(hot_keys)
         .select(F.col(key), row.alias("_hot"))
     )
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-        1 + F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    anywhere = 1 + F.pmod(F.xxhash64(*spread_by), F.lit(2**31 - 1))
+    flagged = big.join(F.broadcast(hot), key, "left").withColumn(
+        "_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(anywhere)
     )
-    flagged = big.join(F.broadcast(hot), key, "left").withColumn("_salt", salt)
-    rest = table.select(F.col(key), F.lit(0).alias("_salt"), row.alias("_rest"))
-    joined = flagged.join(rest, [key, "_salt"], "left")
+    rest = table.select(F.col(key), F.lit(0).cast("long").alias("_spread"), row.alias("_rest"))
+    joined = flagged.join(rest, [key, "_spread"], "left")
     found = F.coalesce("_hot", "_rest")
     return joined.select(*[F.col(c) for c in big.columns], *[found[c].alias(c) for c in columns])
 
@@ -54,4 +53,4 @@ def semi_join(
         key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     )
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    return salted.join(repeated, [key, "_salt"], "left_semi").drop("_salt")
+    return salted.join(repeated, [key, "_salt"], "left_semi").select(*big.columns)
