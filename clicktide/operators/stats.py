@@ -90,10 +90,10 @@ def _starts(k):
 
 
 def _windows_exact(clicks, k, slide_ms):
-    # Rows shrink to one per (event, visitor or item, pane) before they are
-    # spread over the k windows.  A visitor already covers the windows of its
-    # previous pane, so it is new only in the windows that start later: the
-    # distinct counts become plain sums.
+    # Rows shrink to one per (event, visitor or item, pane) first.  A visitor
+    # already covers the windows of its previous pane, so it is new only in the
+    # last ``width`` of the k windows that contain the pane.  With panes counted
+    # by width, distinct counts become sums over few rows.
     sides = F.explode(
         F.array(
             F.struct(F.lit(True).alias("user"), F.col("visitorid").alias("who")),
@@ -106,13 +106,25 @@ def _windows_exact(clicks, k, slide_ms):
         .agg(F.count(F.lit(1)).alias("n"))
     )
     before = F.lag("pane").over(Window.partitionBy("event", "user", "who").orderBy("pane"))
-    spread = panes.withColumn("before", before).select("event", "user", "who", "before", "n", _starts(k))
-    fresh = F.col("who").isNotNull() & (F.col("before").isNull() | (F.col("start") > F.col("before")))
-    user = F.col("user")
-    return spread.groupBy("start", "event").agg(
-        F.sum(F.when(user, F.col("n"))).alias("event_count"),
-        F.count_if(user & fresh).alias("unique_users"),
-        F.count_if(~user & fresh).alias("unique_items"),
+    width = F.least(F.lit(k), F.coalesce(F.col("pane") - before, F.lit(k)))
+    counted = (
+        panes.withColumn("width", width)
+        .groupBy("event", "user", "pane", "width")
+        .agg(F.sum("n").alias("n"), F.count("who").alias("who"))
+    )
+    user, fresh = F.col("user"), F.col("start") > F.col("pane") - F.col("width")
+
+    def total(column, keep):
+        return F.coalesce(F.sum(F.when(keep, F.col(column))), F.lit(0))
+
+    return (
+        counted.select("event", "user", "pane", "width", "n", "who", _starts(k))
+        .groupBy("start", "event")
+        .agg(
+            total("n", user).alias("event_count"),
+            total("who", user & fresh).alias("unique_users"),
+            total("who", ~user & fresh).alias("unique_items"),
+        )
     )
 
 
