@@ -8,7 +8,8 @@ loss of any executor, and its size is known to the optimizer when it is read.
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -32,12 +33,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, **write_options) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
+    return materialize_counted(df, label)[0]
+
+
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The same with the number of rows, counted while they are written."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.options(**write_options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), written.get["rows"]
 
 
 def release(spark: SparkSession) -> None:
