@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracle_queries  # noqa: E402
 from clicktide import schema as S  # noqa: E402
 from clicktide.operators import errors, features, profiles, quality, recommend, stats  # noqa: E402
+from clicktide.operators.views import create_views  # noqa: E402
 from clicktide.plans import scratch  # noqa: E402
 from clicktide.plans.session import configure  # noqa: E402
 from clicktide.sources import files, messages  # noqa: E402
@@ -153,6 +154,16 @@ def event_share(spark, sf_dir):
     return _plain(stats.event_share(stats.event_statistics(_clicks(spark, sf_dir))))
 
 
+def views(spark, sf_dir):
+    """The summary view joined to the totals view, in SQL."""
+    clicks = _clicks(spark, sf_dir)
+    create_views(clicks, stats.windowed_stats(clicks), stats.event_statistics(clicks))
+    return spark.sql(
+        """SELECT s.event, s.event_count, t.total_count, s.unique_items
+           FROM event_summary s JOIN latest_stats t ON s.event = t.event"""
+    )
+
+
 def conversion_funnel(spark, sf_dir):
     return stats.conversion_funnel(stats.event_statistics(_clicks(spark, sf_dir)))
 
@@ -383,6 +394,11 @@ def test_split(spark, sf_dir):
     return features.split_by_user(_clicks(spark, sf_dir))[1]
 
 
+def train_split_by_range(spark, sf_dir):
+    """The same by the plan for visitors that are too large for one task."""
+    return features.split_by_user(_clicks(spark, sf_dir), max_group_rows=10)[0]
+
+
 def time_split(spark, sf_dir):
     train, test = features.split_by_time(_clicks(spark, sf_dir))
     return train.withColumn("part", F.lit("train")).unionByName(
@@ -394,12 +410,21 @@ def split_summary(spark, sf_dir):
     return features.split_summary(*features.split_by_time(_clicks(spark, sf_dir)))
 
 
-def item_sequences(spark, sf_dir):
-    return features.item_sequences(_clicks(spark, sf_dir)).withColumn(
+def _printed(sequences):
+    return sequences.withColumn(
         "sequence", F.array_join(F.transform("sequence", lambda i: i.cast("string")), ",")
     )
 
 
+def item_sequences(spark, sf_dir):
+    return _printed(features.item_sequences(_clicks(spark, sf_dir)))
+
+
+def item_sequences_by_range(spark, sf_dir):
+    """The same by the plan for visitors that are too large for one task."""
+    return _printed(features.item_sequences(_clicks(spark, sf_dir), max_group_rows=20))
+
+
 # --- recommendations --------------------------------------------------------
 
 
@@ -556,7 +581,7 @@ def upsert_event_statistics(spark, sf_dir):
 _QUERIES = (
     event_summary, total_records, windowed_stats, windowed_stats_sketched, event_statistics,
     approx_distinct_error, realtime_metrics, latest_activity, recent_event_trend, hourly_activity,
-    latest_stats, event_share, conversion_funnel, top_items_recent, active_users, event_timeline,
+    latest_stats, event_share, views, conversion_funnel, top_items_recent, active_users, event_timeline,
     pipeline_health,
     user_profile, user_history, item_stats, purchase_item_stats, top_products, ctr_stats, hourly_ctr,
     category_distribution, popular_items, dataset_summary, event_distribution,
@@ -565,7 +590,8 @@ _QUERIES = (
     event_messages, parse_events, nan_to_null, failed_batch_records, load_category_tree,
     load_item_properties,
     active_user_events, active_buyer_events, user_features, item_popularity, event_features,
-    train_split, test_split, time_split, split_summary, item_sequences,
+    train_split, train_split_by_range, test_split, time_split, split_summary, item_sequences,
+    item_sequences_by_range,
     user_item_ratings, item_similarity, item_similarity_blocked, item_neighbours,
     purchase_item_neighbours, recommend_users, recommend_buyers, recommend_cold_users,
     recommend_untrained, hit_rate,

@@ -1,5 +1,7 @@
 """Error records: classification, storage rows, alerts and the failed-message log."""
 
+import traceback
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +64,7 @@ def _lookup(column, mapping):
     return pick
 
 
-def failed_messages(df: DataFrame, error_type: str, error_message: str, traceback: str = "") -> DataFrame:
+def failed_messages(df: DataFrame, error_type: str, error_message: str, trace: str = "") -> DataFrame:
     """Log rows for (key, value) messages that could not be published."""
     return df.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
@@ -72,7 +74,7 @@ def failed_messages(df: DataFrame, error_type: str, error_message: str, tracebac
         F.struct(
             F.lit(error_type).alias("type"),
             F.lit(error_message).alias("message"),
-            F.lit(traceback).alias("traceback"),
+            F.lit(trace).alias("traceback"),
         ).alias("error"),
     )
 
@@ -87,6 +89,23 @@ def log_failed_messages(rows: DataFrame, path: str) -> None:
     )
 
 
+def publish(messages: DataFrame, send: Callable[[DataFrame], None], log_path: str) -> tuple[int, int]:
+    """Send (key, value) messages; returns how many were sent and how many failed.
+
+    When sending fails, the messages go to the failed-message log.  A topic may
+    already have received some of them.
+    """
+    try:
+        send(messages)
+    except Exception as failure:  # whatever the sink raises is logged with the messages
+        log_failed_messages(
+            failed_messages(messages, type(failure).__name__, str(failure), traceback.format_exc()),
+            log_path,
+        )
+        return 0, messages.count()
+    return messages.count(), 0
+
+
 def failed_message_count(spark: SparkSession, path: str, day: str | None = None) -> int:
     """Logged messages of one day (today by default); 0 when there are none."""
     folder = f"{path}/date={day or date.today().isoformat()}"

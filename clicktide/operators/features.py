@@ -81,18 +81,36 @@ def save_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 # --- splits -----------------------------------------------------------------
 
 
+def label_by_user(
+    clicks: DataFrame,
+    test_size: float = S.TEST_SIZE,
+    max_group_rows: int = MAX_GROUP_ROWS,
+    known_bound: int | None = None,
+) -> DataFrame:
+    """Add ``is_test``: true for each visitor's newest events.
+
+    At least one event stays in training; single-event visitors have no test part.
+    """
+    placed = with_positions(clicks, ["visitorid"], ["timestamp", "id"], max_group_rows, known_bound)
+    kept = F.greatest(F.lit(1), F.floor(F.col("group_size") * F.lit(1 - test_size)))
+    return placed.select(*clicks.columns, (F.col("position") > kept).alias("is_test"))
+
+
 def split_by_user(
     clicks: DataFrame, test_size: float = S.TEST_SIZE, max_group_rows: int = MAX_GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """Each visitor's newest events become the test part.
+    """(train, test) by :func:`label_by_user`.
 
-    At least one event stays in training; single-event visitors have no test part.
+    Both parts carry the whole plan; to use them several times, write the
+    labelled events once and filter that table.
     """
-    placed = with_positions(clicks, ["visitorid"], ["timestamp", "id"], max_group_rows)
-    kept = F.greatest(F.lit(1), F.floor(F.col("group_size") * F.lit(1 - test_size)))
+    return parts(label_by_user(clicks, test_size, max_group_rows))
+
+
+def parts(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (
-        placed.where(F.col("position") <= kept).select(*clicks.columns),
-        placed.where(F.col("position") > kept).select(*clicks.columns),
+        labelled.where(~F.col("is_test")).drop("is_test"),
+        labelled.where(F.col("is_test")).drop("is_test"),
     )
 
 

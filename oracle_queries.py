@@ -112,6 +112,11 @@ def statistics():
                 FROM ws WHERE {_since(1440)} GROUP BY ALL""",
         ),
         "latest_stats": _with(CS, _totals(), "SELECT * FROM es"),
+        "views": _with(
+            CS,
+            """SELECT event, count(*) AS event_count, count(*) AS total_count,
+                      count(DISTINCT itemid) AS unique_items FROM cs GROUP BY event""",
+        ),
         "event_share": _with(CS, _totals(), f"SELECT *, {share} AS percentage FROM es"),
         "conversion_funnel": _with(
             CS, _totals(),
@@ -357,6 +362,17 @@ ITEM_POPULARITY = "ip AS (SELECT itemid, count(*) AS item_popularity FROM cs GRO
 
 
 def training():
+    in_training = f"SELECT * EXCLUDE (rn, n) FROM placed WHERE rn <= {KEPT}"
+    sequences = _with(
+        CS,
+        """s AS (
+          SELECT visitorid, itemid AS target,
+                 row_number() OVER (PARTITION BY visitorid ORDER BY timestamp, id) AS position,
+                 list(itemid) OVER (PARTITION BY visitorid ORDER BY timestamp, id
+                                    ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS items FROM cs)""",
+        """SELECT visitorid, position, array_to_string(items, ',') AS sequence, target
+           FROM s WHERE position > 10""",
+    )
     def active(least):
         return f"""SELECT * FROM cs WHERE visitorid IN (
                      SELECT visitorid FROM cs GROUP BY visitorid HAVING count(*) >= {least})"""
@@ -368,14 +384,15 @@ def training():
         "item_popularity": _with(CS, ITEM_POPULARITY, "SELECT * FROM ip"),
         "event_features": _with(
             CS, USER_FEATURES, ITEM_POPULARITY,
-            """SELECT cs.*, t AS datetime, extract('hour' FROM t) AS hour,
+            """SELECT cs.* EXCLUDE (t), t AS datetime, extract('hour' FROM t) AS hour,
                       extract('isodow' FROM t) - 1 AS dayofweek, event = 'view' AS event_view,
                       event = 'addtocart' AS event_addtocart, event = 'transaction' AS event_transaction,
                       uf.* EXCLUDE (visitorid), item_popularity
                FROM (SELECT *, make_timestamp(timestamp * 1000) AS t FROM cs) cs
                JOIN uf USING (visitorid) JOIN ip USING (itemid)""",
-        ).replace("cs.*, t AS", "cs.* EXCLUDE (t), t AS"),
-        "train_split": _with(CS, PLACED, f"SELECT * EXCLUDE (rn, n) FROM placed WHERE rn <= {KEPT}"),
+        ),
+        "train_split": _with(CS, PLACED, in_training),
+        "train_split_by_range": _with(CS, PLACED, in_training),
         "test_split": _with(CS, PLACED, f"SELECT * EXCLUDE (rn, n) FROM placed WHERE rn > {KEPT}"),
         "time_split": _with(CS, TIMED, "SELECT * FROM timed"),
         "split_summary": _with(
@@ -393,16 +410,8 @@ def training():
                       CAST(100 AS DOUBLE) * (CAST(common_users AS DOUBLE) / test_users) AS common_percent
                FROM counts""",
         ),
-        "item_sequences": _with(
-            CS,
-            """s AS (
-              SELECT visitorid, itemid AS target,
-                     row_number() OVER (PARTITION BY visitorid ORDER BY timestamp, id) AS position,
-                     list(itemid) OVER (PARTITION BY visitorid ORDER BY timestamp, id
-                                        ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS items FROM cs)""",
-            """SELECT visitorid, position, array_to_string(items, ',') AS sequence, target
-               FROM s WHERE position > 10""",
-        ),
+        "item_sequences": sequences,
+        "item_sequences_by_range": sequences,
     }
 
 

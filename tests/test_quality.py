@@ -2,6 +2,7 @@ import pytest
 from helpers import clicks, rows
 
 from clicktide.operators import errors, profiles, quality, stats
+from clicktide.operators.views import create_views
 
 
 def test_classifier(spark):
@@ -46,6 +47,30 @@ def test_failed_message_log(spark, tmp_path):
     assert errors.failed_message_count(spark, path, "1999-01-01") == 0
 
 
+def test_publish(spark, tmp_path):
+    sent, log = [], str(tmp_path / "log")
+    messages = spark.createDataFrame([("1", "{}"), ("2", "{}")], "key string, value string")
+    assert errors.publish(messages, lambda df: sent.append(df.count()), log) == (2, 0)
+    assert sent == [2] and errors.failed_message_count(spark, log) == 0
+
+    def refuse(df):
+        raise TimeoutError("no answer")
+
+    assert errors.publish(messages, refuse, log) == (0, 2)
+    logged = spark.read.json(log)
+    assert {(r.error["type"], r.error["message"]) for r in logged.collect()} == {("TimeoutError", "no answer")}
+
+
+def test_views(spark):
+    data = clicks(spark, [(1, "view", 1), (1, "addtocart", 2), (2, "view", 2)])
+    create_views(data, stats.windowed_stats(data), stats.event_statistics(data))
+    assert rows(spark.sql("SELECT event, event_count FROM event_summary"), "event") == [
+        ("addtocart", 1), ("view", 2)
+    ]
+    assert spark.sql("SELECT * FROM realtime_metrics").count() > 0
+    assert rows(spark.sql("SELECT event FROM latest_stats")) == [("view",), ("addtocart",)]
+
+
 def test_duplicates_and_vocabulary(spark):
     data = clicks(spark, [(1, "view", 1), (1, "view", 2), (2, "signup", 1)])
     copies = data.unionByName(data.where("id = 1")).unionByName(data.where("id = 1"))
