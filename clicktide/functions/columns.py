@@ -47,8 +47,14 @@ def stage_counts(views="views", carts="addtocarts", purchases="purchases") -> li
 
 
 def percent(part, whole) -> Column:
-    """Percentage with two decimals; NULL when the whole is zero."""
-    return F.round(F.try_divide(F.lit(100.0) * _col(part), _col(whole).cast("double")), 2)
+    """Percentage of two counts with two decimals; NULL when the whole is zero.
+
+    Rounds halves up in whole numbers, since a double such as 5.015 lies a
+    little below the half it stands for.
+    """
+    part, whole = _col(part).cast("long"), _col(whole).cast("long")
+    doubled = F.nullif(2 * whole, F.lit(0).cast("long"))
+    return F.call_function("div", 20_000 * part + whole, doubled) / F.lit(100.0)
 
 
 def percent_or_zero(part, whole) -> Column:

@@ -42,9 +42,9 @@ def _with(*parts):
 
 
 def _percent(part, whole, empty="NULL"):
-    return (
-        f"coalesce(round(CAST(100 AS DOUBLE) * ({part}) / CAST(nullif({whole}, 0) AS DOUBLE), 2), {empty})"
-    )
+    # hundredths of a percent as whole numbers, halves up
+    hundredths = f"(20000 * ({part}) + ({whole})) // (2 * nullif({whole}, 0))"
+    return f"coalesce(CAST({hundredths} AS DOUBLE) / CAST(100 AS DOUBLE), {empty})"
 
 
 def _since(minutes, column="window_start"):
