@@ -35,7 +35,10 @@ def lookup_join(
     flagged = big.join(F.broadcast(hot), key, "left").withColumn(
         "_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(anywhere)
     )
-    rest = table.select(F.col(key), F.lit(0).cast("long").alias("_spread"), row.alias("_rest"))
+    # A plain literal would be folded into the condition, and the shuffle would
+    # go back to hashing the key alone; a generated zero stays a join key.
+    zero = F.explode(F.array(F.lit(0).cast("long"))).alias("_spread")
+    rest = table.select(F.col(key), zero, row.alias("_rest"))
     joined = flagged.join(rest, [key, "_spread"], "left")
     found = F.coalesce("_hot", "_rest")
     return joined.select(*[F.col(c) for c in big.columns], *[found[c].alias(c) for c in columns])

@@ -97,11 +97,30 @@ def compact_upserts(spark: SparkSession, target: str, keys: list[str]) -> int:
     return upto
 
 
+def drop_folded(spark: SparkSession, target: str) -> None:
+    """Delete batches and snapshots that the newest snapshot has replaced.
+
+    Call it while nobody reads the table; the stream may go on.
+    """
+    folded = _newest(spark, f"{target}/snapshots/upto=*")
+    if folded is None:
+        return
+    for pattern in (f"{target}/changes/batch_id=*", f"{target}/snapshots/upto=*"):
+        for number, folder in _complete(spark, pattern):
+            if number < folded:
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _newest(spark, pattern):
-    """Highest number among the folders whose success marker is written."""
+    return max((number for number, _ in _complete(spark, pattern)), default=None)
+
+
+def _complete(spark, pattern):
+    """(number, path) of the folders whose success marker is written."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
-    files = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker)
-    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in files), default=None)
+    found = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker)
+    folders = [f.getPath().getParent() for f in found]
+    return [(int(f.getName().split("=")[1]), f) for f in folders]
 
 
 # --- failures ---------------------------------------------------------------

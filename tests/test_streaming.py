@@ -128,6 +128,10 @@ def test_upserts(spark, tmp_path):
     assert state() == {"a": 9, "b": 5, "c": 3}
     assert sinks.compact_upserts(spark, target, ["event"]) == 2
     assert state() == {"a": 9, "b": 5, "c": 3}
+    sinks.drop_folded(spark, target)
+    assert [p.name for p in (tmp_path / "t" / "snapshots").iterdir()] == ["upto=2"]
+    write(batch(d=4), 3)
+    assert state() == {"a": 9, "b": 5, "c": 3, "d": 4}
 
 
 def test_failed_batches_are_kept(spark, tmp_path):
