@@ -57,6 +57,13 @@ def error_alerts(df: DataFrame) -> DataFrame:
     )
 
 
+def handle_errors(df: DataFrame, path: str) -> DataFrame:
+    """Append errors to the error table at ``path``; returns the alerts they raise."""
+    stored = error_events(df)
+    stored.write.mode("append").parquet(path)
+    return error_alerts(stored)
+
+
 def _lookup(column, mapping):
     pick = F
     for key, value in mapping.items():
@@ -114,6 +121,11 @@ def failed_message_count(spark: SparkSession, path: str, day: str | None = None)
     return spark.read.text(folder).where(F.trim("value") != "").count()
 
 
+def read_failed_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Logged messages with their errors, for another attempt."""
+    return spark.read.schema(S.FAILED_MESSAGES).json(path)
+
+
 def failed_message_counts(spark: SparkSession, path: str) -> DataFrame:
     """Logged messages per day."""
     return (

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from clicktide import schema as S
 from clicktide.functions.columns import (
-    count_event,
     event_second,
     event_time,
     percent,

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clicktide import schema as S
 from clicktide.operators.errors import error_events
 from clicktide.plans.scratch import exists
 from clicktide.sources.messages import as_json, failed_batch
@@ -161,6 +162,7 @@ def guarded(write: BatchWriter, on_failure: Callable[[DataFrame, int, str], None
 
 
 def read_errors(spark: SparkSession, errors: str) -> DataFrame:
+    """Error records stored by :func:`store_failure`, with the table they concern."""
     if not exists(spark, errors):
         raise FileNotFoundError(errors)
-    return spark.read.parquet(errors)
+    return spark.read.schema(S.ERROR_EVENTS).parquet(errors)

@@ -1,6 +1,7 @@
 import pytest
 from helpers import clicks, rows
 
+from clicktide import schema as S
 from clicktide.operators import errors, profiles, quality, stats
 from clicktide.operators.views import create_views
 
@@ -57,10 +58,21 @@ def test_publish(spark, tmp_path):
         raise TimeoutError("no answer")
 
     assert errors.publish(messages, refuse, log) == (0, 2)
-    logged = spark.read.json(log)
+    logged = errors.read_failed_messages(spark, log)
     assert {(r.error["type"], r.error["message"]) for r in logged.collect()} == {("TimeoutError", "no answer")}
 
 
+def test_handle_errors(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("bad JSON", 1, None), ("no connection", 2, None)], "error_message string, batch_id long, raw_data string"
+    )
+    for _ in range(2):
+        alerts = errors.handle_errors(df, str(tmp_path / "errors"))
+    assert [r.title for r in alerts.collect()] == [":rotating_light: CRITICAL - db_connection"]
+    stored = spark.read.parquet(str(tmp_path / "errors"))
+    assert stored.schema.fieldNames() == S.ERROR_EVENTS.fieldNames() and stored.count() == 4
+
+
 def test_views(spark):
     data = clicks(spark, [(1, "view", 1), (1, "addtocart", 2), (2, "view", 2)])
     create_views(data, stats.windowed_stats(data), stats.event_statistics(data))
