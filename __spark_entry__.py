@@ -16,7 +16,7 @@ from clicktide import schema as S  # noqa: E402
 from clicktide.operators import errors, features, profiles, quality, recommend, stats  # noqa: E402
 from clicktide.operators.views import create_views  # noqa: E402
 from clicktide.plans import scratch  # noqa: E402
-from clicktide.plans.session import configure  # noqa: E402
+from clicktide.plans.session import configure, state_store_per_core  # noqa: E402
 from clicktide.sources import files, messages  # noqa: E402
 from clicktide.sources.tables import (  # noqa: E402
     clickstream_from_events,
@@ -521,7 +521,8 @@ def stream_windowed_stats(spark, sf_dir):
     target, checkpoint = scratch.new_path(spark, "windows"), scratch.new_path(spark, "windows-cp")
     write = sinks.upsert_batches(target, "created_at")
     stream = _event_stream(spark, sf_dir)
-    _finish(pipeline.stream_windowed_stats(stream, write, checkpoint, pipeline.ALL_AVAILABLE))
+    with state_store_per_core(spark):
+        _finish(pipeline.stream_windowed_stats(stream, write, checkpoint, pipeline.ALL_AVAILABLE))
     return _plain(sinks.read_upserts(spark, target, pipeline.WINDOW_KEYS).drop("created_at"))
 
 
@@ -529,7 +530,8 @@ def stream_event_statistics(spark, sf_dir):
     target, checkpoint = scratch.new_path(spark, "totals"), scratch.new_path(spark, "totals-cp")
     write = sinks.upsert_batches(target, "updated_at")
     stream = _event_stream(spark, sf_dir)
-    _finish(pipeline.stream_event_statistics(stream, write, checkpoint, pipeline.ALL_AVAILABLE))
+    with state_store_per_core(spark):
+        _finish(pipeline.stream_event_statistics(stream, write, checkpoint, pipeline.ALL_AVAILABLE))
     return sinks.read_upserts(spark, target, pipeline.TOTAL_KEYS).drop("updated_at")
 
 
@@ -547,7 +549,8 @@ def stream_late_data(spark, sf_dir):
     for part in (clicks, newest, late):
         part.write.mode("append").parquet(source)
         stream = _with_time(spark.readStream.schema(clicks.schema).parquet(source))
-        _finish(pipeline.stream_windowed_stats(stream, write, checkpoint, pipeline.ALL_AVAILABLE))
+        with state_store_per_core(spark):
+            _finish(pipeline.stream_windowed_stats(stream, write, checkpoint, pipeline.ALL_AVAILABLE))
     return _plain(sinks.read_upserts(spark, target, pipeline.WINDOW_KEYS).drop("created_at"))
 
 

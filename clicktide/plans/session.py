@@ -1,5 +1,7 @@
 """Session settings the operators rely on."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 _SETTINGS = {
@@ -17,3 +19,20 @@ def configure(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
+
+
+@contextmanager
+def state_store_per_core(spark: SparkSession):
+    """Start new stateful streams with one shuffle partition per core.
+
+    Each partition keeps a state store that is committed in every batch, and
+    adaptive execution does not merge them.  A stream takes the number over when
+    it starts and keeps it for the life of its checkpoint.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
