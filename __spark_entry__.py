@@ -25,6 +25,12 @@ from clicktide.sources.tables import (  # noqa: E402
 )
 from clicktide.streaming import pipeline, sinks  # noqa: E402
 
+try:  # the corpus operators may be left out of an installation
+    import corpus_pipeline
+    from clicktide.llm import queries as corpus
+except ImportError:
+    corpus = corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -609,8 +615,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in _QUERIES}
+    named = {query.__name__: query for query in _QUERIES}
+    if corpus:
+        named |= corpus.QUERIES | {"pipeline": corpus_pipeline.run}
+    return named
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.all_queries()
+    named = oracle_queries.all_queries()
+    if corpus:
+        named |= corpus.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            named["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return named
