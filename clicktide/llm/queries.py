@@ -1,8 +1,9 @@
 """The registered queries of the corpus operators and the SQL that checks them."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from clicktide.llm import token_blocks
+from clicktide.llm import fingerprints, inner_product, line_dedup, packing, pieces, token_blocks, toxicity, warc
 from clicktide.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -14,8 +15,56 @@ def op1_token_blocks(spark, sf_dir):
     return token_blocks.read_tokens(shards, with_ids=False)
 
 
+def op2_inner_product(spark, sf_dir):
+    found = inner_product.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op3_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    # the table has no time of capture: a page a second from a fixed day on
+    archives = warc.write_archives(pages, F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id")))
+    return warc.capture_index(archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "slice", "position"
+    )
+
+
+def op4_line_dedup(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least_chars=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_pieces(spark, sf_dir):
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), PIECE_TOKENIZER, outputs=False)
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1, window=2048, with_ids=False
+    )
+
+
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op10_fingerprints(spark, sf_dir):
+    compared = fingerprints.compare_with_edit(table(spark, sf_dir, "documents"))
+    return compared.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next",
+    )
+
+
 QUERIES = {
-    "op1_token_blocks": op1_token_blocks,
-}
+    query.__name__: query
+    for query in (
+        op1_token_blocks, op2_inner_product, op3_warc, op4_line_dedup, op6_pieces, op7_packing, op8_toxicity,
+        op10_fingerprints,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE,
+}
