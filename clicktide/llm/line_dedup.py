@@ -22,9 +22,9 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, others: bool = False) -> DataFrame:
     # rows that share an id are told apart by their text
-    return documents(docs).withColumn("_text_hash", F.xxhash64("text"))
+    return documents(docs, others).withColumn("_text_hash", F.xxhash64("text"))
 
 
 def hashed_lines(docs: DataFrame, least_chars: int = 10) -> DataFrame:
@@ -99,7 +99,7 @@ def _dense(keep: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = 10, others: bool = False) -> DataFrame:
     """Remove lines whose key a smaller document holds.
 
     Returns a row per row of ``docs`` (of which only ``doc_id`` and ``text`` are
@@ -107,9 +107,10 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10) -> DataFrame:
     other lines joined by line ends.  A null or empty text is one empty line.  All
     lines may go; ``kept`` is empty then.  Within its owner a key keeps all its
     lines.  Rows that share an id are one document as to owning; rows without an
-    id are one document that comes last.  An empty table gives no row.
+    id are one document that comes last.  An empty table gives no row.  With
+    ``others`` the remaining columns come along in a struct.
     """
-    rows = _rows(docs)
+    rows = _rows(docs, others)
     # the words are laid out on this side of the shuffle, once per document
     bitmaps = keep_bitmaps(docs, least_chars).select(
         F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), "n_dropped", _dense(F.col("keep")).alias("_words")
@@ -126,6 +127,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10) -> DataFrame:
         F.when(F.col("_id").isNull() & F.col("_words").isNull(), F.col("text"))
         .otherwise(F.array_join(kept, "\n"))
         .alias("kept"),
+        *(["others"] if others else []),
     )
 
 

@@ -3,10 +3,22 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from clicktide.llm import fingerprints, inner_product, line_dedup, packing, pieces, token_blocks, toxicity, warc
+from clicktide.llm import (
+    fingerprints,
+    inner_product,
+    jaccard_join,
+    line_dedup,
+    packing,
+    pieces,
+    surrogates,
+    token_blocks,
+    toxicity,
+    warc,
+)
 from clicktide.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+SURROGATE_KEY = "a key for tests; use a secret one"
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -34,6 +46,10 @@ def op4_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_surrogates(spark, sf_dir):
+    return surrogates.replace_personal_data(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op6_pieces(spark, sf_dir):
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), PIECE_TOKENIZER, outputs=False)
 
@@ -49,6 +65,10 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=5, num=80, den=100)
+
+
 def op10_fingerprints(spark, sf_dir):
     compared = fingerprints.compare_with_edit(table(spark, sf_dir, "documents"))
     return compared.select(
@@ -60,8 +80,8 @@ def op10_fingerprints(spark, sf_dir):
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_token_blocks, op2_inner_product, op3_warc, op4_line_dedup, op6_pieces, op7_packing, op8_toxicity,
-        op10_fingerprints,
+        op1_token_blocks, op2_inner_product, op3_warc, op4_line_dedup, op5_surrogates, op6_pieces, op7_packing,
+        op8_toxicity, op9_jaccard_join, op10_fingerprints,
     )
 }
 

@@ -233,8 +233,9 @@ def _features_of(batches, lexicon, learning):
         own = batch.column("toxic").to_pylist() if learning else [None] * len(texts)
         rows = [text_features(texts[i].as_py(), marks, own[i]) for i in range(len(texts))]
         columns = {"features": pa.array(rows, pa.list_(pa.float64()))}
-        for name in ("doc_id", *(("toxic", "part") if learning else ())):
-            columns[name] = batch.column(name)
+        for name in batch.schema.names:
+            if name != "text":
+                columns[name] = batch.column(name)
         yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -261,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, trees: int = 20,
     if not lexicon.toxic or not lexicon.other:
         return Model(lexicon, share=share)
     features = materialize(
-        sample.select("doc_id", "text", "toxic", "part").mapInArrow(
+        sample.select("text", "doc_id", "toxic", "part").mapInArrow(
             partial(_features_of, lexicon=lexicon, learning=True),
             "features array<double>, doc_id long, toxic int, part long",
         ),
@@ -284,22 +285,29 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, trees: int = 20,
     return Model(lexicon, trained, isotonic, share)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, whole_rows: bool = False) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row; null and empty texts get a score like others.
 
     Only ``doc_id`` and ``text`` are read.  Rows without an id have a null one and
     count as held out; repeated rows are scored each.  ``score`` lies from 0 to 1.
+    With ``whole_rows`` the rows of ``docs`` come along in a struct ``row``.
     """
-    texts = documents(docs)
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_rows else []
+    texts = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *row
+    )
+    kept = [c for c in texts.columns if c != "text"]
     if model.trees is None:
-        scored = texts.select("doc_id", F.lit(model.share).alias("score"))
+        scored = texts.select(*kept, F.lit(model.share).alias("score"))
     else:
+        types = dict(texts.dtypes)
         features = texts.mapInArrow(
-            partial(_features_of, lexicon=model.lexicon, learning=False), "features array<double>, doc_id long"
+            partial(_features_of, lexicon=model.lexicon, learning=False),
+            "features array<double>, " + ", ".join(f"{c} {types[c]}" for c in kept),
         )
-        scored = model.calibration.transform(_margin(features, model.trees).select("doc_id", "margin"))
+        scored = model.calibration.transform(_margin(features, model.trees).select(*kept, "margin"))
     bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), bounded.alias("score"),
-        (bounded >= threshold).cast("int").alias("predicted"),
+        (bounded >= threshold).cast("int").alias("predicted"), *kept[1:],
     )

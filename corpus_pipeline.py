@@ -1,10 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Every stage works on all documents its predecessor kept and is written as
+Parquet before the next one reads it.  Stages but the last return the columns of
+``documents``; clean documents stay, and where a text changes ``n_chars`` follows.
+"""
 
+
+from clicktide.llm import jaccard_join, line_dedup, packing, queries, surrogates, toxicity
+from clicktide.llm.common import by_ids, materialize, table, with_new_text
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Without documents of a toxicity score of 0.3 or more."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, threshold=0.3, whole_rows=True)
+    return scored.where("predicted = 0").select("row.*")
+
+
+def drop_repeated_lines(spark, docs, sf_dir):
+    """Without lines that a document of a smaller id has; every document stays, even if empty."""
+    kept = line_dedup.dedup_lines(docs, least_chars=10, others=True)
+    return with_new_text(kept, docs.columns, "kept")
+
+
+def keep_one_of_each(spark, docs, sf_dir):
+    """The smallest ``doc_id`` of every group of near duplicates."""
+    found = jaccard_join.near_duplicates(docs, words=5, num=80, den=100)
+    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    return by_ids(docs, gone, "left_anti").select(*docs.columns)
+
+
+def replace_personal_data(spark, docs, sf_dir):
+    """Personal data replaced by surrogates."""
+    replaced = surrogates.replace_personal_data(docs, queries.SURROGATE_KEY, others=True)
+    return with_new_text(replaced, docs.columns)
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of packed sequences of 2048 tokens, with their ids."""
+    return packing.pack_documents(docs, queries.WORD_TOKENIZER, end_id=1, window=2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", keep_one_of_each),
+    ("personal_data", replace_personal_data),
+    ("packing", pack),
+]
+
+# trees, tokenizers and keyed surrogates are not SQL; the tests compare with brute force
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    """All stages over ``documents``; each but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
