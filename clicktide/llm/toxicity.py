@@ -274,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, trees: int = 20,
         training = rows
     classifier = GBTClassifier(
         featuresCol="features", labelCol="toxic", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1,
-        predictionCol="tree_prediction", probabilityCol="tree_probability", cacheNodeIds=False,
+        predictionCol="tree_prediction",
     )
     trained = classifier.fit(training.select(array_to_vector("features").alias("features"), F.col("toxic").cast("double").alias("toxic")))
     told = _margin(rows, trained).select("margin", F.col("toxic").cast("double").alias("toxic"), "part")
