@@ -132,6 +132,11 @@ def approx_distinct_error(spark, sf_dir):
     return stats.approx_distinct_error(_clicks(spark, sf_dir))
 
 
+def approx_distinct_bound(spark, sf_dir):
+    """Orders and parts of all sales: more values than a sketch counts exactly."""
+    return stats.approx_distinct_bound(_purchases(spark, sf_dir), "event", ("transactionid", "itemid"))
+
+
 def realtime_metrics(spark, sf_dir):
     windows, as_of = _recent_windows(spark, sf_dir, stats.HOUR)
     return _plain(stats.realtime_metrics(windows, as_of))
@@ -248,6 +253,11 @@ def event_distribution(spark, sf_dir):
 # --- quality and errors -----------------------------------------------------
 
 
+def category_distribution_all(spark, sf_dir):
+    """Over all sold parts, far more than the usual hundred items."""
+    return profiles.category_distribution(_purchases(spark, sf_dir), n_items=None)
+
+
 def duplicate_events(spark, sf_dir):
     """Duplicates after every transaction has been delivered a second time."""
     clicks = _clicks(spark, sf_dir)
@@ -306,6 +316,30 @@ def failed_message_count(spark, sf_dir):
     )
 
 
+def _refuse_thirds(key, value):
+    if int(key) % 3 == 0:
+        raise TimeoutError(f"no answer for {key}")
+
+
+def failed_message_log(spark, sf_dir):
+    """Messages, some of them cut off, of which those of every third visitor cannot be delivered."""
+    path = scratch.new_path(spark, "failed-messages")
+    errors.publish(_messages(spark, sf_dir), _refuse_thirds, path)
+    return errors.read_failed_messages(spark, path).select(
+        "partition_key", "raw_message", F.col("message.itemid").alias("itemid"),
+        F.col("error.type").alias("error_type"), F.col("error.message").alias("error_message"),
+    )
+
+
+def handle_errors(spark, sf_dir):
+    """Alerts of errors that are stored in the same step."""
+    path = scratch.new_path(spark, "errors")
+    alerts = errors.handle_errors(_error_records(spark, sf_dir), path)
+    stored = spark.read.schema(S.ERROR_EVENTS).parquet(path)
+    kept = stored.select(F.col("batch_id").cast("string").alias("batch_id"), F.col("error_message").alias("text"))
+    return alerts.join(kept, ["batch_id", "text"], "left_semi")
+
+
 # --- ingest -----------------------------------------------------------------
 
 
@@ -319,6 +353,45 @@ def parse_events(spark, sf_dir):
     return _plain(valid)
 
 
+def _hostile_messages(spark, sf_dir):
+    """Click messages, some of them damaged or odd, by their id."""
+    clicks = _clicks(spark, sf_dir)
+    encoded = messages.to_messages(clicks.select("id", *pipeline.RAW_COLUMNS)).select(
+        F.get_json_object("value", "$.id").cast("long").alias("id"),
+        F.regexp_replace("value", r'^\{"id":[0-9]+,', "{").alias("v"),
+    )
+    kind, v = F.col("id") % 20, F.col("v")
+    huge = F.regexp_replace(v, '"timestamp":[0-9]+', '"timestamp":9223372036854775807')
+
+    def transaction(text):
+        return F.regexp_replace(v, '"transactionid":[^}]*', f'"transactionid":{text}')
+
+    odd = (
+        F.when(kind == 1, huge).when(kind == 2, F.concat(v, F.lit(" garbage"))).when(kind == 3, F.concat(v, v))
+        .when(kind == 4, F.concat(v, F.lit("],["), v)).when(kind == 5, F.lit("")).when(kind == 6, transaction('"T-4000"'))
+        .when(kind == 7, transaction("4000.7")).when(kind == 8, transaction("4000.0")).otherwise(v)
+    )
+    return encoded.select(odd.alias("value"))
+
+
+def parse_hostile_messages(spark, sf_dir):
+    """Every message is either valid or kept whole as invalid."""
+    valid, invalid = messages.parse_events(_hostile_messages(spark, sf_dir))
+    fields = ("timestamp", "visitorid", "event", "itemid", "transactionid")
+    told = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in fields])
+    return valid.select(F.lit("valid").alias("outcome"), told.alias("content")).unionByName(
+        invalid.select(F.lit("invalid").alias("outcome"), F.col("raw_message").alias("content"))
+    )
+
+
+def read_events_csv(spark, sf_dir):
+    """Events written as CSV with the columns turned round, and read again."""
+    path = scratch.new_path(spark, "events-csv")
+    clicks = _clicks(spark, sf_dir).withColumn("transactionid", F.col("transactionid").cast("double"))
+    clicks.select(*reversed(S.EVENTS_CSV.names)).write.option("header", True).csv(path)
+    return files.read_events_csv(spark, path)
+
+
 def nan_to_null(spark, sf_dir):
     """Readings of ``error`` events are not numbers."""
     readings = _table(spark, sf_dir, "events").select(
@@ -342,7 +415,8 @@ def load_category_tree(spark, sf_dir):
         (F.col("n_nationkey") + 100).alias("categoryid"), F.col("n_regionkey").alias("parentid")
     )
     csv, target = scratch.new_path(spark, "category-csv"), scratch.new_path(spark, "category-tree")
-    regions.unionByName(nations).write.option("header", True).csv(csv)
+    tree = regions.unionByName(nations).select("parentid", "categoryid")  # order of the header counts
+    tree.write.option("header", True).csv(csv)
     files.load_category_tree(spark, csv, target)
     return _plain(spark.read.parquet(target))
 
@@ -392,6 +466,13 @@ def event_features(spark, sf_dir):
     return _plain(features.event_features(_clicks(spark, sf_dir)))
 
 
+def saved_event_features(spark, sf_dir):
+    """Features written as a table and read again."""
+    path = scratch.new_path(spark, "features")
+    features.save_features(features.event_features(_clicks(spark, sf_dir)), path)
+    return _plain(spark.read.parquet(path))
+
+
 def train_split(spark, sf_dir):
     return features.split_by_user(_clicks(spark, sf_dir))[0]
 
@@ -474,6 +555,13 @@ def recommend_cold_users(spark, sf_dir):
     return recommend.recommend(model, cold)
 
 
+def recommend_more(spark, sf_dir):
+    """Longer lists than the model stores neighbours for, from a model that was saved and loaded."""
+    path = scratch.new_path(spark, "model")
+    recommend.save(recommend.fit(_clicks(spark, sf_dir)), path)
+    return recommend.recommend(recommend.load(spark, path), n=15)
+
+
 def recommend_untrained(spark, sf_dir):
     """Customers before any model exists."""
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("visitorid"))
@@ -585,6 +673,70 @@ def upsert_event_statistics(spark, sf_dir):
     return sinks.read_upserts(spark, target, pipeline.TOTAL_KEYS).drop("updated_at")
 
 
+def upsert_incomplete_batch(spark, sf_dir):
+    """A batch that was never finished lies between two complete ones."""
+    clicks = _clicks(spark, sf_dir)
+    sold = clicks.where(F.col("event") == "transaction")
+    target = scratch.new_path(spark, "upserts")
+    write = sinks.upsert_batches(target, "updated_at")
+    write(stats.event_statistics(clicks), 0)
+    unfinished = stats.event_statistics(clicks.unionByName(clicks)).withColumn("updated_at", F.current_timestamp())
+    unmarked = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    unfinished.write.option(unmarked, "false").parquet(f"{target}/changes/batch_id=1")
+    write(stats.event_statistics(sold.unionByName(sold)), 2)
+    return sinks.read_upserts(spark, target, pipeline.TOTAL_KEYS).drop("updated_at")
+
+
+def failed_sink_batches(spark, sf_dir):
+    """Events of a sink that refuses every batch, with the alert that raises."""
+
+    def refuse(batch, batch_id):
+        raise ConnectionError("connection refused")
+
+    root, checkpoint = scratch.new_path(spark, "refused"), scratch.new_path(spark, "refused-cp")
+    valid, _ = messages.parse_events(_message_stream(spark, sf_dir))
+    write = sinks.guarded(refuse, pipeline.failure_store(root, "clicks"))
+    _finish(pipeline.stream_clicks(valid, write, checkpoint, pipeline.ALL_AVAILABLE))
+    alert = spark.read.parquet(f"{root}/error_alerts").select(F.col("batch_id").cast("long"), "color", "text")
+    kept = spark.read.schema(
+        "timestamp long, visitorid long, event string, itemid long, transactionid string, error_message string, "
+        "batch_id long"
+    ).json(f"{root}/failed_batches")
+    return kept.join(alert, "batch_id").drop("batch_id", "table")
+
+
+def consume_events(spark, sf_dir):
+    """The storing consumer, a file of messages at a time; what it stores and what it rejects."""
+    source, root, checkpoint = (scratch.new_path(spark, f"consume-{p}") for p in ("in", "out", "cp"))
+    hostile = _hostile_messages(spark, sf_dir)
+    hostile.repartition(4).write.text(source)
+    stream = messages.read_stream(spark, "files", path=source, maxFilesPerTrigger=1)
+    _finish(pipeline.consume(stream, root, checkpoint, pipeline.ALL_AVAILABLE))
+    stored = spark.read.parquet(f"{root}/clickstream_events").select(
+        *pipeline.RAW_COLUMNS, F.lit(False).alias("rejected")
+    )
+    rejected = spark.read.schema(
+        "timestamp long, visitorid long, event string, itemid long, transactionid string"
+    ).json(f"{root}/rejected_events").drop("batch_id")
+    return stored.withColumn("transactionid", F.col("transactionid").cast("string")).unionByName(
+        rejected.withColumn("rejected", F.lit(True))
+    )
+
+
+def pipeline_restarted(spark, sf_dir):
+    """Raw events of the whole pipeline, stopped after some messages and started again with the rest."""
+    source, root, checkpoint = (scratch.new_path(spark, f"pipeline-{p}") for p in ("in", "out", "cp"))
+    sent = _messages(spark, sf_dir).select("value").withColumn("late", F.get_json_object("value", "$.itemid") > 50)
+    for late in (False, True):
+        part = sent.where(F.coalesce("late", F.lit(False)) == late).select("value")
+        part.coalesce(3).write.mode("append").text(source)
+        stream = messages.read_stream(spark, "files", path=source, maxFilesPerTrigger=2)
+        with state_store_per_core(spark):
+            pipeline.await_all(spark, pipeline.start_pipeline(stream, root, checkpoint, pipeline.ALL_AVAILABLE))
+    raw = spark.read.parquet(f"{root}/live_clickstream_events").select(*pipeline.RAW_COLUMNS, "event_date")
+    return _plain(raw)
+
+
 # --- contract ---------------------------------------------------------------
 
 _QUERIES = (
@@ -606,6 +758,9 @@ _QUERIES = (
     recommend_untrained, hit_rate,
     stream_raw_events, dead_letter_events, stream_windowed_stats, stream_event_statistics,
     stream_late_data, upsert_windowed_stats, upsert_event_statistics,
+    approx_distinct_bound, category_distribution_all, failed_message_log, handle_errors,
+    parse_hostile_messages, read_events_csv, saved_event_features, recommend_more,
+    upsert_incomplete_batch, failed_sink_batches, consume_events, pipeline_restarted,
 )
 
 

@@ -84,9 +84,15 @@ def category_name(item="itemid", names=S.CATEGORY_NAMES) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), slot)
 
 
+def transaction_text(text="transactionid") -> Column:
+    """A whole number written as a float loses its zeros; any other text stays."""
+    return F.regexp_replace(text, r"^(-?[0-9]+)\.0+$", "$1")
+
+
 def transaction_number(text="transactionid") -> Column:
-    """``"4000"`` and ``"4000.0"`` both become 4000; junk becomes NULL."""
-    return F.expr(f"cast(try_cast(`{text}` AS decimal(38, 6)) AS bigint)")
+    """``"4000"`` and ``"4000.0"`` both become 4000; what is no whole number becomes NULL."""
+    plain = transaction_text(text)
+    return F.when(plain.rlike("^-?[0-9]+$"), plain.try_cast("bigint"))
 
 
 def error_class(lowered: str) -> Column:

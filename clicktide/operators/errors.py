@@ -2,14 +2,15 @@
 
 import traceback
 from collections.abc import Callable
-from datetime import date
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktide import schema as S
 from clicktide.functions.columns import add_once, error_class
-from clicktide.plans.scratch import exists
+from clicktide.plans.scratch import exists, materialize
 
 
 def classify_errors(df: DataFrame, message_col: str = "error_message") -> DataFrame:
@@ -18,15 +19,16 @@ def classify_errors(df: DataFrame, message_col: str = "error_message") -> DataFr
     return add_once(lowered, error_class("_lowered")).drop("_lowered")
 
 
-def error_events(df: DataFrame) -> DataFrame:
+def error_events(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Rows of the error table from (error_message, batch_id, raw_data).
 
-    The whole message is classified; the stored text is cut.
+    The whole message is classified and stored; ``max_chars`` cuts the stored
+    text for tables with a shorter column.
     """
     now = F.current_timestamp()
     return classify_errors(df).select(
         "error_type",
-        F.substring("error_message", 1, S.ERROR_MESSAGE_CHARS).alias("error_message"),
+        _cut("error_message", max_chars).alias("error_message"),
         "severity",
         F.col("raw_data").cast("string").alias("raw_data"),
         F.col("batch_id").cast("long").alias("batch_id"),
@@ -38,8 +40,15 @@ def error_events(df: DataFrame) -> DataFrame:
     )
 
 
-def error_alerts(df: DataFrame) -> DataFrame:
-    """Alert rows for CRITICAL and ERROR, ready to be posted by a notifier."""
+def _cut(column, max_chars):
+    return F.col(column) if max_chars is None else F.substring(column, 1, max_chars)
+
+
+def error_alerts(df: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Alert rows for CRITICAL and ERROR, ready to be posted by a notifier.
+
+    A notifier with a limit passes ``max_chars`` (``schema.ALERT_MESSAGE_CHARS``).
+    """
     loud = df.where(F.col("severity").isin(*S.ALERT_COLORS))
     return loud.select(
         F.lit(S.ALERT_USERNAME).alias("username"),
@@ -51,7 +60,7 @@ def error_alerts(df: DataFrame) -> DataFrame:
             F.lit("-"),
             F.col("error_type"),
         ).alias("title"),
-        F.substring("error_message", 1, S.ALERT_MESSAGE_CHARS).alias("text"),
+        _cut("error_message", max_chars).alias("text"),
         F.coalesce(F.col("batch_id").cast("string"), F.lit("N/A")).alias("batch_id"),
         F.lit(S.ALERT_FOOTER).alias("footer"),
     )
@@ -71,17 +80,27 @@ def _lookup(column, mapping):
     return pick
 
 
-def failed_messages(df: DataFrame, error_type: str, error_message: str, trace: str = "") -> DataFrame:
-    """Log rows for (key, value) messages that could not be published."""
+def failed_messages(
+    df: DataFrame, error_type: str = "", error_message: str = "", trace: str = ""
+) -> DataFrame:
+    """Log rows for (key, value) messages that could not be published.
+
+    ``raw_message`` is the whole message, ``message`` what of it fits the schema.
+    ``df`` may bring the columns ``error_type``, ``error_message`` and ``trace`` of
+    each message instead.
+    """
+    told = {"error_type": error_type, "error_message": error_message, "trace": trace}
+    told = {c: F.col(c) if c in df.columns else F.lit(v) for c, v in told.items()}
     return df.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         F.monotonically_increasing_id().alias("index"),
         F.col("key").alias("partition_key"),
         F.from_json("value", S.EVENT_MESSAGE).alias("message"),
+        F.col("value").cast("string").alias("raw_message"),
         F.struct(
-            F.lit(error_type).alias("type"),
-            F.lit(error_message).alias("message"),
-            F.lit(trace).alias("traceback"),
+            told["error_type"].alias("type"),
+            told["error_message"].alias("message"),
+            told["trace"].alias("traceback"),
         ).alias("error"),
     )
 
@@ -96,26 +115,53 @@ def log_failed_messages(rows: DataFrame, path: str) -> None:
     )
 
 
-def publish(messages: DataFrame, send: Callable[[DataFrame], None], log_path: str) -> tuple[int, int]:
-    """Send (key, value) messages; returns how many were sent and how many failed.
+def publish(
+    messages: DataFrame, deliver: Callable[[str | None, str], None], log_path: str
+) -> tuple[int, int]:
+    """Deliver (key, value) messages one by one; returns how many were sent and how many failed.
 
-    When sending fails, the messages go to the failed-message log.  A topic may
-    already have received some of them.
+    ``deliver`` runs in the tasks, once per message, and raises for a message that
+    cannot be sent; it has to be picklable and opens its own connection.  Messages
+    that fail go to the failed-message log, each with its own error.  A task that
+    is repeated delivers its messages again.
     """
-    try:
-        send(messages)
-    except Exception as failure:  # whatever the sink raises is logged with the messages
-        log_failed_messages(
-            failed_messages(messages, type(failure).__name__, str(failure), traceback.format_exc()),
-            log_path,
+    told = messages.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    outcome = materialize(
+        told.mapInArrow(
+            partial(_deliver, deliver=deliver),
+            "key string, value string, error_type string, error_message string, trace string",
+        ),
+        "published",
+    )
+    failed = outcome.where("error_type IS NOT NULL")
+    counts = outcome.agg(F.count(F.lit(1)).alias("all"), F.count("error_type").alias("failed")).first()
+    if counts["failed"]:
+        log_failed_messages(failed_messages(failed), log_path)
+    return counts["all"] - counts["failed"], counts["failed"]
+
+
+def _deliver(batches, deliver):
+    for batch in batches:
+        errors = ([], [], [])
+        for key, value in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist()):
+            told = (None, None, None)
+            try:
+                deliver(key, value)
+            except Exception as failure:  # whatever the sink raises is logged with the message
+                told = (type(failure).__name__, str(failure), traceback.format_exc())
+            for column, text in zip(errors, told):
+                column.append(text)
+        columns = [batch.column("key"), batch.column("value"), *(pa.array(c, pa.string()) for c in errors)]
+        yield pa.RecordBatch.from_arrays(
+            columns, names=["key", "value", "error_type", "error_message", "trace"]
         )
-        return 0, messages.count()
-    return messages.count(), 0
 
 
 def failed_message_count(spark: SparkSession, path: str, day: str | None = None) -> int:
     """Logged messages of one day (today by default); 0 when there are none."""
-    folder = f"{path}/date={day or date.today().isoformat()}"
+    # the folders are named by the session's date
+    day = day or spark.sql("SELECT string(current_date())").first()[0]
+    folder = f"{path}/date={day}"
     if not exists(spark, folder):
         return 0
     return spark.read.text(folder).where(F.trim("value") != "").count()

@@ -115,20 +115,26 @@ def parts(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_by_time(clicks: DataFrame, test_size: float = S.TEST_SIZE) -> tuple[DataFrame, DataFrame]:
-    """One cut through all events in (timestamp, id) order.
+    """One cut through all events in (timestamp, id) order, those without a time first.
 
-    The cut is located by counting, so both parts are plain range filters.
+    The cut is located by counting, so both parts are plain range filters.  Every
+    event is in one of them.
     """
-    rows = clicks.count()
+    time, known = F.col("timestamp"), F.col("timestamp").isNotNull()
+    counted = clicks.agg(F.count(F.lit(1)).alias("rows"), F.count("timestamp").alias("timed")).first()
+    rows, untimed = counted["rows"], counted["rows"] - counted["timed"]
     cut = int(rows * (1 - test_size))
     if cut >= rows:
         return clicks, clicks.where(F.lit(False))
-    moment, earlier = nth_smallest(clicks, "timestamp", cut)
-    at_moment = clicks.where(F.col("timestamp") == moment)
-    first_test_id, _ = nth_smallest(at_moment, "id", cut - earlier)
-    in_test = (F.col("timestamp") > moment) | (
-        (F.col("timestamp") == moment) & (F.col("id") >= first_test_id)
-    )
+    if cut < untimed:
+        first_test_id, _ = nth_smallest(clicks.where(~known), "id", cut)
+        in_test = known | (F.col("id") >= first_test_id)
+    else:
+        moment, earlier = nth_smallest(clicks.where(known), "timestamp", cut - untimed)
+        at_moment = clicks.where(time == moment)
+        first_test_id, _ = nth_smallest(at_moment, "id", cut - untimed - earlier)
+        in_test = known & ((time > moment) | ((time == moment) & (F.col("id") >= first_test_id)))
+    in_test = F.coalesce(in_test, F.lit(False))
     return clicks.where(~in_test), clicks.where(in_test)
 
 

@@ -107,9 +107,9 @@ def hourly_ctr(clicks: DataFrame) -> DataFrame:
 
 
 def category_distribution(
-    clicks: DataFrame, n_items: int = 100, names: tuple[str, ...] = S.CATEGORY_NAMES
+    clicks: DataFrame, n_items: int | None = 100, names: tuple[str, ...] = S.CATEGORY_NAMES
 ) -> DataFrame:
-    """Click share per virtual category over the ``n_items`` top items."""
+    """Click share per virtual category over the ``n_items`` top items, or all (None)."""
     per_category = (
         popular_items(clicks, n_items)
         .groupBy(category_name("itemid", names).alias("category"))
@@ -122,11 +122,12 @@ def category_distribution(
     )
 
 
-def popular_items(clicks: DataFrame, n: int = S.TOP_N) -> DataFrame:
+def popular_items(clicks: DataFrame, n: int | None = S.TOP_N) -> DataFrame:
+    counts = clicks.groupBy("itemid").agg(_total("clicks"))
+    if n is None:
+        return counts
     return (
-        clicks.groupBy("itemid")
-        .agg(_total("clicks"))
-        .orderBy(F.desc("clicks"), "itemid")
+        counts.orderBy(F.desc("clicks"), "itemid")
         .limit(n)
     )
 

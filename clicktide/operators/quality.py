@@ -53,13 +53,13 @@ def validate_schema(df: DataFrame, required: dict[str, str]) -> DataFrame:
 
 
 def sample_check(
-    clicks: DataFrame, required: tuple[str, ...] = ("visitorid", "itemid", "event"), n: int = 1000
+    clicks: DataFrame, required: tuple[str, ...] = ("visitorid", "itemid", "event"), n: int | None = None
 ) -> int:
-    """Rows found in a first look at the table; raises when it cannot be trained on."""
+    """Rows of the table, or of its first ``n``; raises when it cannot be trained on."""
     missing = [c for c in required if c not in clicks.columns]
     if missing:
         raise DataQualityError(f"missing columns: {', '.join(missing)}")
-    rows = clicks.limit(n).count()
+    rows = (clicks if n is None else clicks.limit(n)).count()
     if rows == 0:
         raise DataQualityError("no data")
     return rows

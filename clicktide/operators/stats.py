@@ -177,6 +177,29 @@ def approx_distinct_error(clicks: DataFrame, rsd: float = 0.05) -> DataFrame:
     )
 
 
+def approx_distinct_bound(
+    df: DataFrame, group: str, columns: tuple[str, ...], lg: int = SKETCH_LG
+) -> DataFrame:
+    """``(group, counted, exact, within_bound)``: the sketches the streams use against exact counts.
+
+    Within the bound means exact up to ``2**lg`` values, and beyond within four
+    standard errors of ``1 / sqrt(2**lg)``.
+    """
+    counted = df.groupBy(group).agg(
+        *[F.count_distinct(c).alias(f"exact_{c}") for c in columns],
+        *[approx_distinct(c, lg).alias(f"estimate_{c}") for c in columns],
+    )
+
+    def row(c):
+        exact, estimate = F.col(f"exact_{c}"), F.col(f"estimate_{c}")
+        slack = F.when(exact <= 2**lg, F.lit(0.0)).otherwise(4.0 / 2 ** (lg / 2) * exact)
+        return F.struct(
+            F.lit(c).alias("counted"), exact.alias("exact"), (F.abs(estimate - exact) <= slack).alias("within_bound")
+        )
+
+    return counted.select(group, F.inline(F.array(*[row(c) for c in columns])))
+
+
 # --- reports over the statistics tables -------------------------------------
 
 

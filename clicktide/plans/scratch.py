@@ -8,8 +8,7 @@ loss of any executor, and its size is known to the optimizer when it is read.
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
 
@@ -35,17 +34,18 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
-    return materialize_counted(df, label)[0]
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """The same with the number of rows, counted while they are written."""
+    """The same with the number of rows, counted from the footers of the written files."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    # a frame found empty while it runs may lose its counter
-    return spark.read.schema(df.schema).parquet(path), written.get.get("rows", 0)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return table, table.count()
 
 
 def release(spark: SparkSession) -> None:

@@ -1,5 +1,6 @@
 """Session settings the operators rely on."""
 
+import os
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -15,12 +16,24 @@ _SETTINGS = {
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a running session; cluster sizing is left alone."""
+    importable(spark)
     for key, value in _SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let local Python workers import this package, whatever folder the session was started in.
+
+    On a cluster the package is installed or sent with ``--py-files``.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, known) if p)
+
+
 @contextmanager
 def state_store_per_core(spark: SparkSession):
     """Start new stateful streams with one shuffle partition per core.

@@ -26,6 +26,9 @@ CLICKS = T.StructType(
     ]
 )
 
+# Instants from year 1 to year 9999; any other timestamp cannot be stored or shown.
+EARLIEST_MS, LATEST_MS = -62_135_596_800_000, 253_402_300_799_999
+
 # Columns a stored event may not leave empty.
 REQUIRED_EVENT_COLUMNS = ("timestamp", "visitorid", "event", "itemid")
 
@@ -55,6 +58,8 @@ ITEM_PROPERTIES = T.StructType(
     ]
 )
 
+PROPERTY_CHARS = 100
+
 ERROR_EVENTS = T.StructType(
     [
         T.StructField("error_type", T.StringType()),
@@ -76,6 +81,7 @@ FAILED_MESSAGES = T.StructType(
         T.StructField("index", T.LongType()),
         T.StructField("partition_key", T.StringType()),
         T.StructField("message", EVENT_MESSAGE),
+        T.StructField("raw_message", T.StringType()),
         T.StructField(
             "error",
             T.StructType(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clicktide import schema as S
-from clicktide.functions.columns import add_once, event_time, transaction_number
+from clicktide.functions.columns import add_once, event_time, transaction_text
 
 _CORRUPT = "_corrupt_record"
 
@@ -15,8 +15,8 @@ _CORRUPT = "_corrupt_record"
 def read_stream(spark: SparkSession, source: str, **options) -> DataFrame:
     """A stream with a ``value`` column.
 
-    ``kafka``: pass ``servers`` and ``topic`` (and any Kafka option).  Starts at
-    the latest offsets, 1000 per trigger, unless told otherwise.
+    ``kafka``: pass ``servers`` and ``topic`` (and any Kafka option, such as
+    ``maxOffsetsPerTrigger``).  Starts at the latest offsets unless told otherwise.
     ``files``: pass ``path``; one JSON message per line.
     """
     if source == "kafka":
@@ -24,7 +24,6 @@ def read_stream(spark: SparkSession, source: str, **options) -> DataFrame:
             "kafka.bootstrap.servers": options.pop("servers"),
             "subscribe": options.pop("topic"),
             "startingOffsets": "latest",
-            "maxOffsetsPerTrigger": "1000",
         }
         return spark.readStream.format("kafka").options(**{**settings, **options}).load()
     if source == "files":
@@ -63,25 +62,40 @@ def write_messages(messages: DataFrame, servers: str, topic: str) -> None:
 def parse_events(df: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """Split messages into (valid, invalid).
 
-    A message is valid when its JSON matches the schema and the columns that
-    may not be empty are present.  ``from_json`` yields a struct of NULLs for
+    A message is valid when it is one JSON object and nothing else, matches the
+    schema, the columns that may not be empty are present and its timestamp is an
+    instant of the years 1 to 9999.  ``from_json`` yields a struct of NULLs for
     malformed text, so a NULL test on the struct alone would let it through.
+    Transaction ids stay text.  Every message is in exactly one of the two frames.
     """
     schema = T.StructType([*S.EVENT_MESSAGE.fields, T.StructField(_CORRUPT, T.StringType())])
     messages = df.select(F.col(value_col).cast("string").alias("raw_message"))
     data = F.from_json("raw_message", schema, {"columnNameOfCorruptRecord": _CORRUPT})
     parsed = add_once(messages, data)
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in S.REQUIRED_EVENT_COLUMNS])
-    good = present & F.col(_CORRUPT).isNull()
+    dated = F.col("timestamp").between(S.EARLIEST_MS, S.LATEST_MS)
+    good = F.coalesce(present & dated & F.col(_CORRUPT).isNull() & _one_value("raw_message"), F.lit(False))
     valid = (
         parsed.where(good)
         .select(*S.EVENT_MESSAGE.names)
-        .withColumn("transactionid", transaction_number())
+        .withColumn("transactionid", transaction_text())
         .withColumn("event_time", event_time())
     )
     return valid, parsed.where(~good).select("raw_message")
 
 
+def _one_value(text: str):
+    """Whether a text is one JSON value with nothing after it.
+
+    ``from_json`` stops reading at the end of the first value.  As an element of
+    an array the text has to be followed by what comes next; a text that closes
+    the array itself has the same length in both.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), F.col(text), F.lit("]"))) == 1
+    followed = F.json_array_length(F.concat(F.lit("["), F.col(text), F.lit(",0]"))) == 2
+    return alone & followed
+
+
 def dead_letter(invalid: DataFrame, reason: str = S.PARSE_FAILURE) -> DataFrame:
     """Audit columns for messages that could not be parsed."""
     return invalid.select(

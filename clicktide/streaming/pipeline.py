@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clicktide import schema as S
+from clicktide.functions.columns import transaction_number
 from clicktide.operators.stats import approx_distinct
-from clicktide.sources.messages import as_json, dead_letter, parse_events
+from clicktide.sources.messages import as_json, dead_letter, failed_batch, parse_events
 from clicktide.streaming.sinks import (
     BatchWriter,
     append_batches,
@@ -96,8 +97,9 @@ def stream_dead_letters(
 def stream_clicks(
     events: DataFrame, write: BatchWriter, checkpoint: str, trigger: dict | None = None, name: str | None = None
 ) -> StreamingQuery:
-    """Append events batch by batch through any sink."""
-    writer = events.select(*RAW_COLUMNS).writeStream.outputMode("append").foreachBatch(write)
+    """Append events batch by batch through any sink, with their day."""
+    rows = events.select(*RAW_COLUMNS, F.to_date("event_time").alias("event_date"))
+    writer = rows.writeStream.outputMode("append").foreachBatch(write)
     return _start(writer, checkpoint, trigger, name)
 
 
@@ -116,45 +118,68 @@ def start_pipeline(
     """Run all jobs on one message stream.
 
     Each query has its own name and checkpoint below ``checkpoint_root`` and
-    resumes from it.  Statistics batches that cannot be written go to
-    ``root/failed_batches`` with a record in ``root/error_events``.
+    resumes from it.  Batches of events or statistics that cannot be written go to
+    ``root/failed_batches`` with a record in ``root/error_events`` and an alert in
+    ``root/error_alerts``; the query goes on.
     """
     valid, invalid = parse_events(messages)
 
-    def upserts(table, stamp):
-        return guarded(
-            upsert_batches(f"{root}/{table}", stamp),
-            store_failure(f"{root}/failed_batches", f"{root}/error_events", table),
-        )
+    def upserts(table, stamp, keys):
+        return guarded(upsert_batches(f"{root}/{table}", stamp, keys), failure_store(root, table))
+
+    live = "live_clickstream_events"
 
     def options(name):
         return {"checkpoint": f"{checkpoint_root}/{name}", "trigger": trigger, "name": name}
 
     return [
-        stream_raw_events(valid, f"{root}/live_clickstream_events", **options("raw_events")),
-        stream_windowed_stats(valid, upserts("windowed_stats", "created_at"), **options("windowed_stats")),
+        stream_clicks(
+            valid,
+            guarded(
+                append_batches(f"{root}/{live}", partition_by=("event_date",)), failure_store(root, live)
+            ),
+            **options("raw_events"),
+        ),
+        stream_windowed_stats(
+            valid, upserts("windowed_stats", "created_at", WINDOW_KEYS), **options("windowed_stats")
+        ),
         stream_event_statistics(
-            valid, upserts("event_statistics", "updated_at"), **options("event_statistics")
+            valid, upserts("event_statistics", "updated_at", TOTAL_KEYS), **options("event_statistics")
         ),
         stream_dead_letters(invalid, f"{root}/error_data", **options("dead_letters")),
     ]
 
 
+def failure_store(root: str, table: str):
+    return store_failure(f"{root}/failed_batches", f"{root}/error_events", table, f"{root}/error_alerts")
+
+
 def consume(
     messages: DataFrame, root: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """The storing consumer: every valid message into ``clickstream_events``.
+    """The storing consumer: every valid message into ``clickstream_events``, by day.
 
-    Read the topic from ``earliest`` for it.  A batch that cannot be stored is
-    kept as dead letters instead of being dropped.
+    Read the topic from ``earliest`` for it.  The table holds transaction ids as
+    numbers: events with another id go to ``root/rejected_events``.  A batch that
+    cannot be stored is kept as dead letters instead of being dropped.
     """
     valid, _ = parse_events(messages)
     table = "clickstream_events"
-    write = guarded(
-        append_batches(f"{root}/{table}"),
-        store_failure(f"{root}/failed_batches", f"{root}/error_events", table),
-    )
-    return stream_clicks(valid, write, checkpoint, trigger, table)
+    store = append_batches(f"{root}/{table}", partition_by=("event_date",))
+    reject = append_batches(f"{root}/rejected_events", "text")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("_number", transaction_number()).persist()  # written in two parts
+        odd = F.col("transactionid").isNotNull() & F.col("_number").isNull()
+        try:
+            kept = numbered.where(~odd).withColumn("transactionid", F.col("_number")).drop("_number")
+            store(kept, batch_id)
+            rejected = numbered.where(odd).drop("_number")
+            reject(as_json(failed_batch(rejected, batch_id, "transactionid is not a whole number")), batch_id)
+        finally:
+            numbered.unpersist()
+
+    return stream_clicks(valid, guarded(write, failure_store(root, table)), checkpoint, trigger, table)
 
 
 def await_all(spark: SparkSession, queries: list[StreamingQuery]) -> None:

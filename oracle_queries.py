@@ -42,9 +42,9 @@ def _with(*parts):
 
 
 def _percent(part, whole, empty="NULL"):
-    # hundredths of a percent as whole numbers, halves up
-    hundredths = f"(20000 * ({part}) + ({whole})) // (2 * nullif({whole}, 0))"
-    return f"coalesce(CAST({hundredths} AS DOUBLE) / CAST(100 AS DOUBLE), {empty})"
+    # exact decimals, halves up
+    share = f"CAST({part} AS DECIMAL(18, 0)) * 100 / CAST(nullif({whole}, 0) AS DECIMAL(18, 0))"
+    return f"coalesce(CAST(round(CAST({share} AS DECIMAL(38, 12)), 2) AS DOUBLE), {empty})"
 
 
 def _since(minutes, column="window_start"):
@@ -291,7 +291,7 @@ def checks():
         ),
         "error_events": _with(
             _classified(),
-            """SELECT error_type, left(text, 1000) AS error_message, severity,
+            """SELECT error_type, text AS error_message, severity,
                       raw_data, batch_id,
                       CAST(0 AS BIGINT) AS retry_count, 'pending' AS status FROM classified""",
         ),
@@ -301,7 +301,7 @@ def checks():
                       if(severity = 'CRITICAL', 'danger', 'warning') AS color,
                       if(severity = 'CRITICAL', ':rotating_light:', ':warning:')
                         || ' ' || severity || ' - ' || error_type AS title,
-                      left(text, 500) AS text, CAST(batch_id AS VARCHAR) AS batch_id,
+                      text, CAST(batch_id AS VARCHAR) AS batch_id,
                       'Spark Streaming Consumer' AS footer
                FROM classified WHERE severity IN ('CRITICAL', 'ERROR')""",
         ),
@@ -310,6 +310,21 @@ def checks():
     }
 
 
+# --- messages that are damaged or odd, by their id
+HOSTILE = """base AS (
+  SELECT *, id % 20 AS kind, '{"timestamp":' || timestamp || ',"visitorid":' || visitorid || ',"event":"' || event
+            || '","itemid":' || itemid || ',"transactionid":' AS head,
+         coalesce(CAST(transactionid AS VARCHAR), 'null') AS t FROM cs),
+whole AS (SELECT *, head || t || '}' AS json FROM base),
+hostile AS (
+  SELECT *, CASE WHEN kind BETWEEN 1 AND 5 THEN 'invalid' ELSE 'valid' END AS outcome,
+    CASE kind WHEN 1 THEN replace(json, '"timestamp":' || timestamp, '"timestamp":9223372036854775807')
+      WHEN 2 THEN json || ' garbage' WHEN 3 THEN json || json WHEN 4 THEN json || '],[' || json
+      WHEN 5 THEN '' ELSE json END AS v,
+    CASE kind WHEN 6 THEN 'T-4000' WHEN 7 THEN '4000.7' WHEN 8 THEN '4000'
+      ELSE CAST(transactionid AS VARCHAR) END AS tid,
+    timestamp || '|' || visitorid || '|' || event || '|' || itemid || '|' || coalesce(tid, '-') AS told
+  FROM whole)"""
 JSON_FIELDS = """'{"timestamp":' || timestamp || ',"visitorid":' || visitorid || ',"event":"' || event
        || '","itemid":' || itemid"""
 JSON_VALUE = f"""{JSON_FIELDS} || ',"transactionid":' || coalesce(CAST(transactionid AS VARCHAR), 'null') || '}}'"""
@@ -326,7 +341,7 @@ def ingest():
         ),
         "parse_events": _with(
             CS,
-            """SELECT timestamp, visitorid, event, itemid, transactionid,
+            """SELECT timestamp, visitorid, event, itemid, CAST(transactionid AS VARCHAR) AS transactionid,
                       make_timestamp(timestamp * 1000) AS event_time FROM cs WHERE event <> 'error'""",
         ),
         "nan_to_null": """SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value
@@ -340,6 +355,34 @@ def ingest():
                                         CAST(NULL AS BIGINT) AS parentid FROM region
                                  UNION ALL SELECT n_nationkey + 100, n_regionkey FROM nation""",
         "load_item_properties": unpivoted,
+        "parse_hostile_messages": _with(
+            CS, HOSTILE, "SELECT outcome, CASE outcome WHEN 'valid' THEN told ELSE v END AS content FROM hostile"
+        ),
+        "read_events_csv": _with(
+            CS,
+            """SELECT timestamp, visitorid, event, itemid, CAST(transactionid AS DOUBLE) AS transactionid
+               FROM cs""",
+        ),
+        "failed_message_log": _with(
+            CS,
+            f"""SELECT CAST(visitorid AS VARCHAR) AS partition_key,
+                       CASE event WHEN 'error' THEN left(v, length(v) - 1) ELSE v END AS raw_message,
+                       CASE WHEN event <> 'error' THEN itemid END AS itemid, 'TimeoutError' AS error_type,
+                       'no answer for ' || visitorid AS error_message
+                FROM (SELECT *, {JSON_VALUE} AS v FROM cs) WHERE visitorid % 3 = 0""",
+        ),
+        "consume_events": _with(
+            CS, HOSTILE,
+            """SELECT timestamp, visitorid, event, itemid, tid AS transactionid,
+                      coalesce(tid IN ('T-4000', '4000.7'), FALSE) AS rejected
+               FROM hostile WHERE outcome = 'valid'""",
+        ),
+        "failed_sink_batches": _with(
+            CS,
+            """SELECT timestamp, visitorid, event, itemid, CAST(transactionid AS VARCHAR) AS transactionid,
+                      'ConnectionError: connection refused' AS error_message, 'danger' AS color,
+                      'ConnectionError: connection refused' AS text FROM cs WHERE event <> 'error'""",
+        ),
     }
 
 
@@ -430,16 +473,20 @@ sims AS (
   SELECT item_i, item_j,
          CAST(dot AS DOUBLE) / sqrt(CAST(ni.norm AS DOUBLE) * CAST(nj.norm AS DOUBLE)) AS similarity
   FROM dots JOIN norms ni ON ni.itemid = item_i JOIN norms nj ON nj.itemid = item_j)"""
-NEIGHBOURS = """nb AS (
+def _neighbours(n=10):
+    return f"""nb AS (
   SELECT item_i AS itemid, item_j AS neighbour, similarity, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY item_i ORDER BY similarity DESC, item_j) AS rank FROM sims)
-  WHERE rank <= 10)"""
+  WHERE rank <= {n})"""
+
+
+NEIGHBOURS = _neighbours()
 
 
-def _recommended(source="cs", users="SELECT DISTINCT visitorid FROM cs"):
+def _recommended(source="cs", users="SELECT DISTINCT visitorid FROM cs", n=10):
     return f"""{_ratings(source)},
 {SIMILARITY},
-{NEIGHBOURS},
+{_neighbours(n)},
 pop AS (SELECT itemid, row_number() OVER (ORDER BY count(*) DESC, itemid) AS place
         FROM {source} GROUP BY itemid),
 wanted AS ({users}),
@@ -450,17 +497,17 @@ alike AS (
              ORDER BY count(*) DESC, min(r.itemid * 100 + nb.rank)) AS rank
     FROM ratings r JOIN wanted USING (visitorid) JOIN nb ON nb.itemid = r.itemid
     WHERE NOT EXISTS (SELECT 1 FROM ratings o WHERE o.visitorid = r.visitorid AND o.itemid = nb.neighbour)
-    GROUP BY r.visitorid, nb.neighbour) WHERE rank <= 10),
+    GROUP BY r.visitorid, nb.neighbour) WHERE rank <= {n}),
 found AS (SELECT visitorid, count(*) AS n FROM alike GROUP BY visitorid),
 filled AS (
   SELECT visitorid, coalesce(n, 0) + free AS rank, itemid FROM (
     SELECT w.visitorid, f.n, p.itemid,
            row_number() OVER (PARTITION BY w.visitorid ORDER BY p.place) AS free
     FROM wanted w LEFT JOIN found f USING (visitorid) CROSS JOIN pop p
-    WHERE coalesce(f.n, 0) < 10
+    WHERE coalesce(f.n, 0) < {n}
       AND NOT EXISTS (SELECT 1 FROM ratings o WHERE o.visitorid = w.visitorid AND o.itemid = p.itemid)
       AND NOT EXISTS (SELECT 1 FROM alike s WHERE s.visitorid = w.visitorid AND s.itemid = p.itemid))
-  WHERE coalesce(n, 0) + free <= 10),
+  WHERE coalesce(n, 0) + free <= {n}),
 offered AS (SELECT *, 'similar' AS source FROM alike UNION ALL SELECT *, 'popular' FROM filled)"""
 
 
@@ -514,7 +561,7 @@ def streams():
     return {
         "stream_raw_events": _with(
             CS,
-            """SELECT timestamp, visitorid, event, itemid, transactionid,
+            """SELECT timestamp, visitorid, event, itemid, CAST(transactionid AS VARCHAR) AS transactionid,
                       strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') AS event_date
                FROM cs WHERE event <> 'error'""",
         ),
@@ -540,6 +587,28 @@ def streams():
 
 
 def all_queries() -> dict[str, str]:
-    return {
+    named = {
         **statistics(), **profile(), **checks(), **ingest(), **training(), **recommendations(), **streams()
     }
+    names = ", ".join(f"'{n}'" for n in CATEGORY_NAMES)
+    return named | {
+        # the same rows by another way
+        "handle_errors": named["error_alerts"],
+        "saved_event_features": named["event_features"],
+        "pipeline_restarted": named["stream_raw_events"],
+        "upsert_incomplete_batch": named["upsert_event_statistics"],
+        "recommend_more": _with(CS, _recommended(n=15), "SELECT * FROM offered"),
+        "approx_distinct_bound": _with(
+            BUYS,
+            """SELECT event, 'transactionid' AS counted, count(DISTINCT transactionid) AS exact,
+                      TRUE AS within_bound FROM cs GROUP BY event
+               UNION ALL SELECT event, 'itemid', count(DISTINCT itemid), TRUE FROM cs GROUP BY event""",
+        ),
+        "category_distribution_all": _with(
+            BUYS, "top AS (SELECT itemid, count(*) AS clicks FROM cs GROUP BY itemid)",
+            f"""SELECT category, clicks,
+                       {_percent('clicks', '(SELECT sum(clicks) FROM top)', 0)} AS percentage
+                FROM (SELECT ([{names}])[itemid % 20 + 1] AS category,
+                             CAST(sum(clicks) AS BIGINT) AS clicks FROM top GROUP BY 1)""",
+        ),
+    }

@@ -45,6 +45,16 @@ def test_time_split(spark, test_size):
     assert sorted(r[0] for r in rows(test)) == ordered[cut:]
 
 
+@pytest.mark.parametrize("untimed", [0, 1, 5, 9, 10])
+def test_time_split_with_missing_times(spark, untimed):
+    made = [(i, None if i % 2 == 0 and i < 2 * untimed or untimed == 10 else 1000 + i, 1, "view", 1, None) for i in range(10)]
+    data = spark.createDataFrame(made, "id long, timestamp long, visitorid long, event string, itemid long, transactionid long")
+    train, test = features.split_by_time(data)
+    order = sorted(made, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert sorted(r.id for r in train.collect()) == sorted(r[0] for r in order[:8])
+    assert sorted(r.id for r in test.collect()) == sorted(r[0] for r in order[8:])
+
+
 def test_time_split_inside_one_moment(spark):
     data = spark.createDataFrame(
         [(i, 5 if 2 <= i < 90 else i, 1, "view", 1, None) for i in range(100)],

@@ -17,11 +17,22 @@ def test_parse(spark):
     valid, invalid = messages.parse_events(df)
     got = {r.itemid: r for r in valid.collect()}
     assert set(got) == {355908, 3}
-    assert got[3].transactionid == 4000 and got[355908].transactionid is None
+    assert got[3].transactionid == "4000" and got[355908].transactionid is None
     assert got[355908].event_time.microsecond == 117000
     assert sorted(map(str, (r.raw_message for r in invalid.collect()))) == sorted(map(str, BAD))
 
 
+def test_hostile_messages_stay_whole(spark):
+    huge = GOOD.replace("1433221332117", "9223372036854775807")
+    far = GOOD.replace("1433221332117", "253402300800000")
+    bad = [huge, far, GOOD + " garbage", GOOD + GOOD, GOOD + "," + GOOD, GOOD + "],[" + GOOD, GOOD + ",0],[" + GOOD, "1", GOOD + "]"]
+    odd = [FLOAT_ID.replace("4000.0", '"T-4000"'), FLOAT_ID.replace("4000.0", "4000.7"), " " + GOOD + "\n"]
+    df = spark.createDataFrame([(m,) for m in [*bad, *odd]], "value string")
+    valid, invalid = messages.parse_events(df)
+    assert sorted(r.raw_message for r in invalid.collect()) == sorted(bad)
+    assert sorted(str(r.transactionid) for r in valid.collect()) == ["4000.7", "None", "T-4000"]
+
+
 def test_binary_values(spark):
     df = spark.createDataFrame([(bytearray(GOOD, "utf8"),)], "value binary")
     assert messages.parse_events(df)[0].count() == 1
@@ -59,6 +70,24 @@ def test_events_csv(spark, tmp_path):
     assert rows(files.read_events_csv(spark, str(swapped))) == [(1, 2, "view", 3, None)]
 
 
+def test_csv_cells_that_do_not_fit(spark, tmp_path):
+    path = tmp_path / "events.csv"
+    path.write_text("timestamp,visitorid,event,itemid,transactionid\n1,x,view,3,\n4,5,transaction,y,z\n")
+    counts = dict(rows(files.unreadable_cells(spark, str(path))))
+    assert counts == {"timestamp": 0, "visitorid": 1, "event": 0, "itemid": 1, "transactionid": 1}
+    with pytest.raises(Exception):
+        files.read_events_csv(spark, str(path)).collect()
+    for text in ("categoryid,parentid\n1,abc\n", "categoryid,parentid\n1,2,3\n", "categoryid,other\n1,2\n"):
+        path.write_text(text)
+        with pytest.raises(Exception):
+            files.load_category_tree(spark, str(path), str(tmp_path / "tree"))
+    path.write_text("parentid,categoryid\n,1\n1,2\n")
+    assert rows(files.read_category_tree(spark, str(path)), "categoryid") == [(1, None), (2, 1)]
+    path.write_text("timestamp,itemid,property,value\n1,2," + "p" * 101 + ",red\n")
+    with pytest.raises(ValueError):
+        files.load_item_properties(spark, [str(path)], str(tmp_path / "properties"))
+
+
 def test_category_tree(spark, tmp_path):
     good, bad = tmp_path / "good.csv", tmp_path / "bad.csv"
     good.write_text("categoryid,parentid\n1,\n2,1\n")

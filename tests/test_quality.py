@@ -25,14 +25,16 @@ def test_error_rows_and_alerts(spark):
         "error_message string, batch_id long, raw_data string",
     )
     stored = errors.error_events(df)
-    assert sorted(len(r.error_message) for r in stored.collect()) == [4, 7, 1000]
-    # classified by the whole text, stored and shown cut
-    assert rows(stored.where("length(error_message) = 1000").select("error_type", "retry_count", "status")) == [
+    assert sorted(len(r.error_message) for r in stored.collect()) == [4, 7, 1508]
+    cut = errors.error_events(df, max_chars=1000)
+    # classified by the whole text, also where less of it is stored
+    assert rows(cut.where("length(error_message) = 1000").select("error_type", "retry_count", "status")) == [
         ("db_connection", 0, "pending")
     ]
     alerts = {r.color: r for r in errors.error_alerts(stored).collect()}
     assert set(alerts) == {"danger", "warning"}
-    assert len(alerts["danger"].text) == 500 and alerts["danger"].batch_id == "0"
+    assert len(alerts["danger"].text) == 1508 and alerts["danger"].batch_id == "0"
+    assert {len(r.text) for r in errors.error_alerts(stored, S.ALERT_MESSAGE_CHARS).collect()} == {500, 4}
     assert alerts["danger"].title == ":rotating_light: CRITICAL - db_connection"
     assert alerts["warning"].batch_id == "N/A"
 
@@ -49,15 +51,18 @@ def test_failed_message_log(spark, tmp_path):
 
 
 def test_publish(spark, tmp_path):
-    sent, log = [], str(tmp_path / "log")
-    messages = spark.createDataFrame([("1", "{}"), ("2", "{}")], "key string, value string")
-    assert errors.publish(messages, lambda df: sent.append(df.count()), log) == (2, 0)
-    assert sent == [2] and errors.failed_message_count(spark, log) == 0
-
-    def refuse(df):
-        raise TimeoutError("no answer")
-
-    assert errors.publish(messages, refuse, log) == (0, 2)
+    log = str(tmp_path / "log")
+    messages = spark.createDataFrame([("1", "{}"), ("2", "not json"), (None, "{}")], "key string, value string")
+    assert errors.publish(messages, lambda key, value: None, log) == (3, 0)
+    assert errors.failed_message_count(spark, log) == 0
+
+    def refuse(key, value):
+        if key == "2":
+            raise TimeoutError("no answer")
+
+    assert errors.publish(messages, refuse, log) == (2, 1)
+    (row,) = errors.read_failed_messages(spark, log).collect()
+    assert (row.partition_key, row.raw_message, row.error.type) == ("2", "not json", "TimeoutError")
     logged = errors.read_failed_messages(spark, log)
     assert {(r.error["type"], r.error["message"]) for r in logged.collect()} == {("TimeoutError", "no answer")}
 
