@@ -107,26 +107,21 @@ def data_quality_report(clicks: DataFrame, fail_fast: bool = False) -> DataFrame
     absent = [c for c in S.REQUIRED_EVENT_COLUMNS if c not in clicks.columns]
     if absent:
         raise DataQualityError(f"missing columns: {', '.join(absent)}")
-    checks = [
-        ("not_empty", clicks.limit(1).agg((1 - F.count(F.lit(1))).alias("n_bad"))),
-        (
-            "duplicates",
-            duplicate_events(clicks, n=None).agg(F.count(F.lit(1)).alias("n_bad")),
-        ),
-        ("event_types", invalid_event_types(clicks).agg(F.count(F.lit(1)).alias("n_bad"))),
-        (
-            "required_values",
-            clicks.agg(
-                F.count_if(
-                    reduce(lambda a, b: a | b, [F.col(c).isNull() for c in S.REQUIRED_EVENT_COLUMNS])
-                ).alias("n_bad")
-            ),
-        ),
-    ]
-    report = reduce(
-        DataFrame.unionByName,
-        [df.select(F.lit(name).alias("check_name"), "n_bad") for name, df in checks],
-    ).select("check_name", (F.col("n_bad") == 0).alias("passed"), "n_bad")
+    # one aggregation by key answers all checks; its rows are counted, not the table's
+    keys = clicks.groupBy(*DUPLICATE_KEYS).agg(F.count(F.lit(1)).alias("rows"))
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in S.REQUIRED_EVENT_COLUMNS])
+    odd = F.col("event").isNull() | ~F.col("event").isin(*S.EVENT_TYPES)
+    counted = keys.agg(
+        F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("long").alias("not_empty"),
+        F.count_if(F.col("rows") > 1).alias("duplicates"),
+        F.count_distinct(F.when(odd, F.struct("event"))).alias("event_types"),
+        F.coalesce(F.sum(F.when(missing, F.col("rows"))), F.lit(0)).alias("required_values"),
+    )
+    names = ("not_empty", "duplicates", "event_types", "required_values")
+    checks = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("n_bad")) for n in names])
+    report = counted.select(F.inline(checks)).select(
+        "check_name", (F.col("n_bad") == 0).alias("passed"), "n_bad"
+    )
     if fail_fast:
         bad = report.where(~F.col("passed")).collect()  # at most one row per check
         if bad:

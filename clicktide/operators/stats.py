@@ -88,26 +88,40 @@ def _starts(k):
     return F.explode(F.sequence(F.col("pane") - (k - 1), F.col("pane"))).alias("start")
 
 
-def _windows_exact(clicks, k, slide_ms):
-    # Rows shrink to one per (event, visitor or item, pane) first.  A visitor
-    # already covers the windows of its previous pane, so it is new only in the
-    # last ``width`` of the k windows that contain the pane.  With panes counted
-    # by width, distinct counts become sums over few rows.
+PANES_PER_BLOCK = 64
+
+
+def _windows_exact(clicks, k, slide_ms, block_panes=PANES_PER_BLOCK):
+    # All rows are exchanged once, by (event, visitor or item, block of panes);
+    # the counts per pane and the gaps between panes both come from that.  A
+    # block's first panes also look back at the last panes of the block before,
+    # which are copied into it.  A visitor already covers the windows of its
+    # previous pane, so it is new only in the last ``width`` of the k windows that
+    # contain the pane.  With panes counted by width, distinct counts become sums
+    # over few rows.
     sides = F.explode(
         F.array(
             F.struct(F.lit(True).alias("user"), F.col("visitorid").alias("who")),
             F.struct(F.lit(False).alias("user"), F.col("itemid").alias("who")),
         )
     ).alias("s")
+    size = max(block_panes, k)
+    offset = F.pmod(F.col("pane"), F.lit(size).cast("long"))
+    home = F.expr("pane - offset")
+    blocks = F.when(F.col("offset") > size - k, F.array(home, home + size)).otherwise(F.array(home))
     panes = (
         clicks.select("event", _pane(slide_ms), sides)
-        .groupBy("event", "s.user", "s.who", "pane")
+        .withColumn("offset", offset)
+        .select("event", "s.user", "s.who", "pane", F.explode(blocks).alias("block"))
+        .repartition("event", "user", "who", "block")
+        .groupBy("event", "user", "who", "block", "pane")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    before = F.lag("pane").over(Window.partitionBy("event", "user", "who").orderBy("pane"))
+    before = F.lag("pane").over(Window.partitionBy("event", "user", "who", "block").orderBy("pane"))
     width = F.least(F.lit(k), F.coalesce(F.col("pane") - before, F.lit(k)))
     counted = (
         panes.withColumn("width", width)
+        .where(F.col("pane") >= F.col("block"))  # not the copies
         .groupBy("event", "user", "pane", "width")
         .agg(F.sum("n").alias("n"), F.count("who").alias("who"))
     )

@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame
 
+from clicktide import schema as S
 from clicktide.operators import stats
+from clicktide.sources.tables import latest_ms
 
 
 def create_views(
@@ -13,9 +15,9 @@ def create_views(
     ``realtime_metrics`` looks back one hour from ``as_of``, by default from the
     newest window.
     """
-    if as_of is None:
-        newest = windows.selectExpr("unix_millis(max(window_start))").first()[0]
-        as_of = newest or 0
+    if as_of is None:  # the newest window starts in the pane of the newest click
+        newest = latest_ms(clicks) or 0
+        as_of = newest - newest % S.WINDOW_SLIDE_MS
     frames = {
         "clickstream_events": clicks,
         "windowed_stats": windows,

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from clicktide.operators import errors, features, profiles, recommend, stats
+from clicktide.operators import errors, features, profiles, quality, recommend, stats
 from clicktide.plans.positions import nth_smallest, with_positions
 from clicktide.plans.scratch import materialize, shared_folder
 from clicktide.plans.skew import lookup_join, semi_join
@@ -156,3 +156,13 @@ def test_no_cross_join(spark):
     model = recommend.fit(_clicks(spark), 3)
     text = plan(recommend.recommend(model, n=3))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_windows_exchange_all_rows_once(spark):
+    text = plan(stats.windowed_stats(_clicks(spark)))
+    assert text.count("REPARTITION_BY_COL") == 1 and text.count("Exchange hashpartitioning") == 3
+
+
+def test_checks_scan_the_table_once(spark):
+    text = plan(quality.data_quality_report(_clicks(spark)))
+    assert text.count("FileScan") == 1

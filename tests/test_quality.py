@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import clicks, rows
 
@@ -181,3 +183,21 @@ def test_windows_with_missing_values(spark):
     both = got[(-60.0, "view")]
     assert (both.event_count, both.unique_users, both.unique_items) == (2, 1, 1)
     assert got[(0.0, None)].event_count == 1
+
+
+def test_windows_do_not_depend_on_the_blocks(spark):
+    rng = random.Random(4)
+    made = [(i, rng.randrange(-40, 200) * 20_000, rng.randrange(4), "view", rng.choice([1, 2, None]), None) for i in range(300)]
+    data = spark.createDataFrame(made, "id long, timestamp long, visitorid long, event string, itemid long, transactionid long")
+    want = {}
+    for _, ms, visitor, event, item, _ in made:
+        pane = ms // 60_000
+        for start in range(pane - 4, pane + 1):
+            n, users, items = want.setdefault((start, event), [0, set(), set()])
+            want[start, event][0] += 1
+            users.add(visitor)
+            items |= {item} - {None}
+    want = sorted((s, e, n, len(u), len(i)) for (s, e), (n, u, i) in want.items())
+    for size in (1, 7, 64):
+        got = stats._windows_exact(data, 5, 60_000, size).select("start", "event", "event_count", "unique_users", "unique_items")
+        assert rows(got, "start") == want
