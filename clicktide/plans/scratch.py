@@ -7,10 +7,12 @@ loss of any executor, and its size is known to the optimizer when it is read.
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+# Tables of the innermost open scope are at the end; the first list belongs to no scope.
+_made: list[list[str]] = [[]]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark).rstrip('/')}/clicktide/{app}/{label}-{uuid.uuid4().hex[:12]}"
-    _made.append(path)
+    _made[-1].append(path)
     return path
 
 
@@ -49,10 +51,26 @@ def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables this process made; call when their readers are done."""
+    """Delete the tables made outside of any scope; call when their readers are done."""
+    _delete(spark, _made[0])
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables made inside are deleted at its end, and no others."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made.pop()
+        _delete(spark, made)
+
+
+def _delete(spark, made):
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
         path.getFileSystem(conf).delete(path, True)
 
 

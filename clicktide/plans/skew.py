@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Keys joined by broadcast.  Any key below the cut owns at most 1/HOT_KEYS of
-# the rows, and the broadcast table never has more than HOT_KEYS rows.
+# Keys joined by broadcast: as many as there are shuffle partitions, at least
+# HOT_KEYS.  Any key below the cut then owns less than a task's share of the rows.
 HOT_KEYS = 1024
 
 
@@ -14,7 +14,7 @@ def lookup_join(
     key: str,
     weight: str,
     spread_by: list[str],
-    hot_keys: int = HOT_KEYS,
+    hot_keys: int | None = None,
 ) -> DataFrame:
     """Left join of ``big`` with a table that has one row per ``key``.
 
@@ -23,6 +23,8 @@ def lookup_join(
     Their rows then carry a second key drawn from ``spread_by``, so the shuffle
     for the remaining keys deals them out over all tasks.
     """
+    if hot_keys is None:
+        hot_keys = max(HOT_KEYS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     columns = [c for c in table.columns if c != key]
     row = F.struct(*columns)
     table = table.where(F.col(key).isNotNull())  # lets both uses share one shuffle

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from clicktide.operators import errors, features, profiles, quality, recommend, stats
+from clicktide.plans import scratch
 from clicktide.plans.positions import nth_smallest, with_positions
 from clicktide.plans.scratch import materialize, shared_folder
 from clicktide.plans.skew import lookup_join, semi_join
@@ -158,6 +159,15 @@ def test_no_cross_join(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_scopes_delete_their_own_tables(spark):
+    kept = materialize(spark.range(3), "kept")
+    with scratch.scope(spark):
+        gone = materialize(spark.range(3), "gone")
+        path = gone.inputFiles()[0].rsplit("/", 1)[0]
+        assert scratch.exists(spark, path)
+    assert not scratch.exists(spark, path) and kept.count() == 3
+
+
 def test_windows_exchange_all_rows_once(spark):
     text = plan(stats.windowed_stats(_clicks(spark)))
     assert text.count("REPARTITION_BY_COL") == 1 and text.count("Exchange hashpartitioning") == 3
