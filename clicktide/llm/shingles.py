@@ -32,7 +32,21 @@ def _powers(n: int) -> np.ndarray:
 
 
 def _word_hashes(data: np.ndarray):
-    """Hash and end of each word of a byte array that ends in white space."""
+    """Hash and end of each word of a byte array that ends in white space, a stretch at a time."""
+    hashes, ends, at = [], [], 0
+    while at < len(data):
+        stop = min(at + 2 * _CHUNK, len(data))
+        while not _SPACE[data[stop - 1]]:  # on to the end of the word
+            later = np.flatnonzero(_SPACE[data[stop : stop + _CHUNK]])
+            stop += int(later[0]) + 1 if len(later) else min(_CHUNK, len(data) - stop)
+        found, upto = _stretch_hashes(data[at:stop])
+        hashes.append(found)
+        ends.append(upto + at)
+        at = stop
+    return np.concatenate(hashes), np.concatenate(ends)
+
+
+def _stretch_hashes(data: np.ndarray):
     inside = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
