@@ -24,6 +24,7 @@ from clicktide.llm.common import materialize, new_path, shuffle_partitions
 from clicktide.plans.skew import lookup_join
 
 _SPACE = uuid.UUID("7b1e4c1e-2f0b-4a5e-9a55-0d2f6f6f9c11")  # names of record ids
+_STEP = 8192
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -128,11 +129,15 @@ def read_records(raw: bytes):
     """``(headers, block, offset, stored length)`` of each gzip member of an archive."""
     at, view = 0, memoryview(raw)
     while at < len(raw):
-        member = zlib.decompressobj(wbits=31)
-        record = member.decompress(view[at:])
-        if not member.eof:
-            raise ValueError("the archive is cut off")
-        end = len(raw) - len(member.unused_data)
+        member, parts, end = zlib.decompressobj(wbits=31), [], at
+        while not member.eof:  # in steps, for what is left over of the input is copied
+            if end == len(raw):
+                raise ValueError("the archive is cut off")
+            step = view[end : end + _STEP]
+            parts.append(member.decompress(step))
+            end += len(step)
+        end -= len(member.unused_data)
+        record = b"".join(parts)
         head, _, rest = record.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines)
