@@ -15,31 +15,19 @@ In every Arrow batch, documents are encoded by the library as well and compared.
 import hashlib
 import re
 from functools import lru_cache, partial
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from clicktide.llm.cache import Cache, hold
 from clicktide.llm.common import documents
 
 MARK = "▁"
-_LONGEST_KEPT = 64
-
-
-class _Cache(dict):
-    def __init__(self, compute, size):
-        super().__init__()
-        self.compute, self.size = compute, size
-
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(key) <= _LONGEST_KEPT:
-            if len(self) >= self.size:
-                self.clear()
-            self[key] = value
-        return value
+_STRETCH = 1 << 20
+_WORD_START = re.compile(f"(?<!{MARK}){MARK}")
 
 
 class PieceEncoder:
@@ -58,7 +46,8 @@ class PieceEncoder:
             if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i))
         ]
         self.ids = {library.id_to_piece(i): i for i in ordinary}
-        self.scores = {library.id_to_piece(i): library.get_score(i) for i in ordinary}
+        self.order = {library.id_to_piece(i): -library.get_score(i) for i in ordinary}  # the best first
+        self.decimal = [str(i) for i in range(library.get_piece_size())]
         self.bytes = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(not library.is_byte(i) for i in self.bytes):
             raise ValueError("the model has no byte pieces")
@@ -67,36 +56,36 @@ class PieceEncoder:
         bound = any(pair[1] == MARK != pair[0] for pair in self.neighbours)
         lines = any("\n" in pair for pair in self.neighbours)
         self.words = None if bound or lines else re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
-        self.parts = _Cache(self._agenda, kept)
-        self.found = _Cache(self._word, kept)
-        self.spelled = _Cache(lambda word: "".join(f"{i} " for i in self.found[word]), kept)
+        self.parts = Cache(self._agenda, kept)
+        self.found = Cache(self._word, kept)
 
     def _agenda(self, part: str) -> tuple[int, ...]:
         """Merges the best pair until none is left; a pair that has changed since is skipped."""
         symbols = list(part)
-        scores, n = self.scores, len(symbols)
+        order, n = self.order.get, len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
         for i in range(n - 1):
             pair = symbols[i] + symbols[i + 1]
-            if pair in scores:
-                heappush(agenda, (-scores[pair], i, i + 1, pair))
+            if (rank := order(pair)) is not None:
+                agenda.append((rank, i, i + 1, pair))
+        heapify(agenda)
         while agenda:
             _, left, right, pair = heappop(agenda)
-            if not symbols[left] or after[left] != right or symbols[left] + symbols[right] != pair:
+            if after[left] != right or not symbols[left] or symbols[left] + symbols[right] != pair:
                 continue
             symbols[left], symbols[right] = pair, ""
             far = after[left] = after[right]
             if far < n:
                 before[far] = left
                 wider = pair + symbols[far]
-                if wider in scores:
-                    heappush(agenda, (-scores[wider], left, far, wider))
+                if (rank := order(wider)) is not None:
+                    heappush(agenda, (rank, left, far, wider))
             near = before[left]
             if near >= 0:
                 wider = symbols[near] + pair
-                if wider in scores:
-                    heappush(agenda, (-scores[wider], near, left, wider))
+                if (rank := order(wider)) is not None:
+                    heappush(agenda, (rank, near, left, wider))
         out = []
         for symbol in symbols:
             if symbol:
@@ -115,14 +104,22 @@ class PieceEncoder:
         out.append(self.parts[word[begin:]])
         return tuple(chain.from_iterable(out))
 
-    def split(self, text: str) -> list[str]:
-        if not text:
-            return []
-        escaped = MARK + text.replace(" ", MARK)
+    def split(self, escaped: str) -> list[str]:
         return self.words(escaped) if self.words else [escaped]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.found.__getitem__, self.split(text))))
+        if not text:
+            return []
+        escaped = MARK + text.replace(" ", MARK)
+        if len(escaped) <= _STRETCH or not self.words:
+            return list(chain.from_iterable(map(self.found.__getitem__, self.split(escaped))))
+        out, at = [], 0
+        while at < len(escaped):  # a stretch at a time, cut before a word
+            found = _WORD_START.search(escaped, at + _STRETCH)
+            stop = found.start() if found else len(escaped)
+            out.extend(chain.from_iterable(map(self.found.__getitem__, self.split(escaped[at:stop]))))
+            at = stop
+        return out
 
 
 def _require_plain_merges(path):
@@ -144,10 +141,14 @@ def _require_plain_merges(path):
         raise ValueError("not a merge-type model without text normalisation")
 
 
-@lru_cache(maxsize=4)
+_made = lru_cache(maxsize=4)(PieceEncoder)
+
+
 def piece_encoder(path: str) -> PieceEncoder:
     """One encoder a worker and file, kept between tasks."""
-    return PieceEncoder(path)
+    encoder = _made(path)
+    hold(encoder, encoder.parts, encoder.found)
+    return encoder
 
 
 def encode_pieces(
@@ -180,12 +181,11 @@ def _encode_batches(batches, model, outputs, check_every):
         counts, id_hashes, text_hashes, ids_out, texts_out = [], [], [], [], []
         for row in range(len(texts)):
             text = texts[row].as_py()
-            words = encoder.split(text)
-            ids = list(chain.from_iterable(map(encoder.found.__getitem__, words)))
+            ids = encoder.encode(text)
             ids.append(end)
             if row % check_every == 0 and ids != encoder.library.encode(text, add_eos=True, num_threads=1):
                 raise AssertionError(f"the library encodes doc_id {batch.column('doc_id')[row]} otherwise")
-            spelled = "".join(map(encoder.spelled.__getitem__, words)) + str(end)
+            spelled = " ".join(map(encoder.decimal.__getitem__, ids))
             decoded = encoder.library.decode(ids)
             counts.append(len(ids))
             id_hashes.append(hashlib.sha256(spelled.encode()).hexdigest())

@@ -24,6 +24,12 @@ def test_ids_are_the_library_s(library):
         assert pieces.piece_encoder(PIECE_TOKENIZER).encode(text) == library.encode(text), text
 
 
+def test_long_texts_by_stretches(library, monkeypatch):
+    monkeypatch.setattr(pieces, "_STRETCH", 5)
+    for text in ODD + ["one  two▁ three\nfour " * 30]:
+        assert pieces.piece_encoder(PIECE_TOKENIZER).encode(text) == library.encode(text), text
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab ▁et\n.,hnin1s"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_any_text(text):
