@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clicktide.llm import shingles as sh
+from clicktide.llm.cache import hold
 from clicktide.llm.common import by_ids, documents, materialize, shuffle_partitions
 from clicktide.llm.components import components
 from clicktide.plans.skew import lookup_join
@@ -67,6 +68,7 @@ _SIZES = pa.schema(
 
 
 def _slices(batch, rows=1024):
+    hold(_slices)  # nothing is kept here; caches of other operators make room
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 

@@ -13,13 +13,15 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from clicktide.llm.cache import Cache, hold
+
 # Characters for which lower(), composition and the letter class are known to
 # agree with the library's: printable ASCII and the Latin letters up to U+017F,
 # without U+00D7 and U+00F7 (signs) and U+0130 (grows in lower case).
 _LATIN = "À-ÖØ-öø-įı-ſ"
 _PLAIN = re.compile(f"[!-~{_LATIN}]+")
+_STRETCH = 1 << 20
 _RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z{_LATIN}0-9]+")
-_LONGEST_KEPT = 64
 
 
 def _byte_characters() -> dict[int, str]:
@@ -30,22 +32,6 @@ def _byte_characters() -> dict[int, str]:
     return table | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    """Computes what is missing; starts anew when full."""
-
-    def __init__(self, compute, size):
-        super().__init__()
-        self.compute, self.size = compute, size
-
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(key) <= _LONGEST_KEPT:
-            if len(self) >= self.size:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class WordEncoder:
     """Encodes texts as packed little-endian unsigned 32-bit ids.
 
@@ -54,13 +40,13 @@ class WordEncoder:
     distinct word goes through the library's whole chain.
     """
 
-    def __init__(self, path: str, latin_runs: bool = True, kept: int = 1 << 18):
+    def __init__(self, path: str, latin_runs: bool = True, kept: int = 1 << 17):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # in a text they are ordinary text
         self.latin_runs = latin_runs
         self.characters = _byte_characters()
-        self.runs = _Cache(self._run, 2 * kept)
-        self.words = _Cache(self._word, kept)
+        self.runs = Cache(self._run, 2 * kept)
+        self.words = Cache(self._word, kept)
 
     def _run(self, run):
         spelled = run if run.isascii() else "".join(map(self.characters.__getitem__, run.encode()))
@@ -72,11 +58,26 @@ class WordEncoder:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if len(text) <= _STRETCH:
+            return self._encode(text)
+        parts, at = [], 0
+        while at < len(text):  # a stretch at a time, cut at a space
+            stop = text.find(" ", at + _STRETCH)
+            stop = len(text) if stop < 0 else stop
+            parts.append(self._encode(text[at:stop]))
+            at = stop + 1
+        return b"".join(parts)
+
+    def _encode(self, text: str) -> bytes:
         spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
         return b"".join(map(self.words.__getitem__, spaced.split(" ")))
 
 
-@lru_cache(maxsize=4)
+_made = lru_cache(maxsize=4)(WordEncoder)
+
+
 def word_encoder(path: str, latin_runs: bool = True) -> WordEncoder:
     """One encoder a worker and file, kept between tasks."""
-    return WordEncoder(path, latin_runs)
+    encoder = _made(path, latin_runs)
+    hold(encoder, encoder.runs, encoder.words)
+    return encoder

@@ -17,12 +17,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clicktide.llm.cache import hold
 from clicktide.llm.common import documents, materialize
 
 # Insults of everyday English, and pronouns of address.
@@ -39,7 +41,7 @@ LEAST_RATIO = 5.0  # times as frequent in toxic documents
 ENTRIES = 4000
 NEAR = 5  # words around a pronoun
 _STRONG = 3.0  # log-odds that count as a hit
-_KEPT = 1 << 18
+_KEPT = 1 << 17
 
 _ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„’…–—"
 _LEET = str.maketrans("013457@$€!|", "oieastaseil")
@@ -228,10 +230,12 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 def _features_of(batches, lexicon, learning):
     marks = _Words(lexicon)
+    hold(marks)
     for batch in batches:
-        texts = batch.column("text")
+        # whole rows have their text inside, which is not sent twice
+        texts = batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("row"), "text")
         own = batch.column("toxic").to_pylist() if learning else [None] * len(texts)
-        rows = [text_features(texts[i].as_py(), marks, own[i]) for i in range(len(texts))]
+        rows = [text_features(texts[i].as_py() or "", marks, own[i]) for i in range(len(texts))]
         columns = {"features": pa.array(rows, pa.list_(pa.float64()))}
         for name in batch.schema.names:
             if name != "text":
@@ -292,10 +296,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, whole_rows: boo
     count as held out; repeated rows are scored each.  ``score`` lies from 0 to 1.
     With ``whole_rows`` the rows of ``docs`` come along in a struct ``row``.
     """
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_rows else []
-    texts = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *row
-    )
+    text = F.struct(*[docs[c] for c in docs.columns]).alias("row") if whole_rows else docs["text"]
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text)
     kept = [c for c in texts.columns if c != "text"]
     if model.trees is None:
         scored = texts.select(*kept, F.lit(model.share).alias("score"))

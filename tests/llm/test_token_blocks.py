@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from clicktide.llm import files, token_blocks
+from clicktide.llm import files, token_blocks, tokens
 from clicktide.llm.queries import WORD_TOKENIZER
 from clicktide.llm.tokens import word_encoder
 
@@ -35,6 +35,13 @@ def test_words_are_encoded_as_the_library_does(library):
         assert got.tolist() == ids_of(library, text), text
 
 
+def test_long_texts_by_stretches(library, monkeypatch):
+    monkeypatch.setattr(tokens, "_STRETCH", 5)
+    for text in ODD + ["one  two don't\nstop " * 30]:
+        got = np.frombuffer(word_encoder(WORD_TOKENIZER).encode(text), "<u4")
+        assert got.tolist() == ids_of(library, text), text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=40))
 def test_any_text_is_encoded_as_the_library_does(text):
