@@ -48,18 +48,35 @@ def _any(words) -> str:
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_FOUR = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+_HEX = "[0-9A-Fa-f]{1,4}"
+# Addresses with ``::``.  Short ones that are code as well (``a[1::2]``, ``DB::add``) and ``::1`` are not meant.
+_SHORTENED = (
+    r"(?=[0-9A-Fa-f:]*\d|[Ff][CDcd])(?=[0-9A-Fa-f]{3}|(?::{0,2}[0-9A-Fa-f]{1,4}){3}|[0-9A-Fa-f:]*\.)(?:"
+    + "|".join(
+        [rf"(?:{_HEX}:){{{n}}}(?::{_HEX}){{0,{5 - n}}}:{_FOUR}" for n in range(1, 6)]
+        + [rf"::(?:{_HEX}:){{0,5}}{_FOUR}"]
+        + [rf"(?:{_HEX}:){{{n}}}(?::{_HEX}){{1,{7 - n}}}" for n in range(1, 7)]
+        + [rf"(?:{_HEX}:){{1,7}}:", rf":(?::{_HEX}){{1,7}}"]
+    )
+    + ")"
+)
+_GAP = "[ ./\u00a0\u2011-]"  # between the digits of a phone number with a country code
 _CAPITALISED = r"\p{Lu}[\p{L}'’-]*+"
 _ALL_GIVEN = [n for pool in (GIVEN_M, GIVEN_F) for names in pool.values() for n in names]
 PATTERNS = {
-    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}"
-    r"""(?:"[^"\s]{4,}"|'[^'\s]{4,}'|[^\s"',;]{4,})""",
+    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)"
+    r"""["']?\s{0,3}[=:]\s{0,3}"""
+    r"""(?:"(?:[^"\\\r\n]|\\.){4,}+"|'(?:[^'\\\r\n]|\\.){4,}+'|"[^"\r\n]{4,}"|'[^'\r\n]{4,}'|[^\s"',;]{4,})""",
     "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
-    "ipv4": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
+    "ipv6": r"(?<!\w)(?<![0-9A-Fa-f:]:)(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:])"
+    rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{6}}{_FOUR}|{_SHORTENED})(?!\w|:[\w:]|\.\d)",
+    "ipv4": rf"(?<![\w.]){_FOUR}(?!\w|\.\d)",
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}|\+\d{8,15})(?!\w)",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}|\+\d{8,15}"
+    rf"|\+\d{{1,3}}\)?{_GAP}?(?:\(\d{{1,5}}\){_GAP}?\d(?:{_GAP}?\d){{4,11}}|\d(?:{_GAP}?\d){{6,11}}))(?!\w)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]?\d|\w)",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_any(TITLES_M + TITLES_F + TITLES_U)}) {_CAPITALISED}(?: {_CAPITALISED})?"
     rf"|(?:{_any(_ALL_GIVEN)}) {_CAPITALISED})",
@@ -137,6 +154,32 @@ def parts_of(kind: Column, mention: Column) -> Column:
     )
 
 
+def _ipv6(text: Column) -> tuple[Column, Column, Column]:
+    """The groups of an address before and after its ``::`` (all after, if it has none), and its dotted end."""
+    dotted = F.regexp_extract(text, r"(?:\d+\.){3}\d+$", 0)
+
+    def pair(a, b):
+        octets = [F.element_at(F.split(dotted, r"\."), at).cast("int") for at in (a, b)]
+        return F.hex(octets[0] * 256 + octets[1])
+
+    plain = F.when(
+        dotted != "",
+        F.concat(F.regexp_replace(text, r"(?:\d+\.){3}\d+$", ""), pair(1, 2), F.lit(":"), pair(3, 4)),
+    ).otherwise(text)
+
+    def groups(part):
+        return F.filter(F.split(part, ":"), lambda g: g != "")
+
+    before = F.when(F.contains(plain, F.lit("::")), F.substring_index(plain, "::", 1)).otherwise("")
+    return groups(before), groups(F.substring_index(plain, "::", -1)), dotted
+
+
+def _ipv6_norm(text: Column) -> Column:
+    before, after, _ = _ipv6(text)
+    whole = F.concat(before, F.array_repeat(F.lit("0"), 8 - F.size(before) - F.size(after)), after)
+    return F.lower(F.array_join(F.transform(whole, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"))
+
+
 def normal_form(kind: Column, text: Column) -> Column:
     """What makes two parts the same entity."""
     return (
@@ -144,6 +187,7 @@ def normal_form(kind: Column, text: Column) -> Column:
         .when(kind.isin("card", "ssn"), _digits(text))
         .when(kind.isin("iban", "aws_key"), F.replace(text, F.lit(" "), F.lit("")))
         .when(kind.isin("ipv4", "secret"), text)
+        .when(kind == "ipv6", _ipv6_norm(text))
         .otherwise(F.lower(text))
     )
 
@@ -179,6 +223,29 @@ def masked(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _ipv6_like(norm: Column, stream: Column, zeros: Column) -> Column:
+    """Groups of as many digits and letters; groups of zero stay while ``zeros``."""
+    digits, letters = _as_digits(stream), F.translate(stream, "0123456789", "abcdefabcd")
+    leading = F.translate(digits, "0", "8")
+
+    def group(g, i):
+        def one(c, j):
+            at = i * 4 + j + 1
+            return (
+                F.when(~c.rlike(r"\d"), F.substr(letters, at, F.lit(1)))
+                .when(j == 0, F.substr(leading, at, F.lit(1)))
+                .otherwise(F.substr(digits, at, F.lit(1)))
+            )
+
+        filled = F.concat(F.substr(leading, i * 4 + 1, F.lit(1)), F.substr(stream, i * 4 + 2, F.lit(3)))
+        return (
+            F.when((g == "0") & zeros, g).when(g == "0", filled)
+            .otherwise(F.array_join(F.transform(F.split(g, ""), one), ""))
+        )
+
+    return F.array_join(F.transform(F.split(norm, ":"), group), ":")
+
+
 def _syllables(stream: Column, script: str, n: Column) -> Column:
     table = F.array(*[F.lit(s) for s in SYLLABLES[script]])
     picked = F.transform(
@@ -216,6 +283,7 @@ def _draw(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     drawn = (
         F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), some(2, F.lit(8))))
         .when(kind == "ipv4", ipv4).when(kind == "email", email)
+        .when(kind == "ipv6", _ipv6_like(norm, stream, attempt < 8))
         .when(kind == "aws_key", F.concat(F.left(norm, F.lit(4)), masked(F.expr("substring(norm, 5)"), stream)))
         .when(kind == "iban", F.concat(F.left(norm, F.lit(2)), masked(F.expr("substring(norm, 3)"), stream)))
     )
@@ -228,7 +296,7 @@ def _draw(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
             drawn = drawn.when(kind == f"given:{gender}:{script}", F.when(attempt == 0, listed).otherwise(made))
     drawn = drawn.otherwise(masked(norm, stream))
     # short values have few surrogates; these end the search
-    longer = F.when((attempt >= 8) & kind.isin("secret", "email", "ipv6"), F.concat(F.left(stream, F.lit(6)), drawn))
+    longer = F.when((attempt >= 8) & kind.isin("secret", "email"), F.concat(F.left(stream, F.lit(6)), drawn))
     return F.coalesce(longer, drawn)
 
 
@@ -267,6 +335,36 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 # --- rendering and replacing ------------------------------------------------
 
 
+def _ipv6_rendered(text: Column, surrogate: Column) -> Column:
+    before, after, dotted = _ipv6(text)
+    new, rest = F.split(surrogate, ":"), 8 - F.size(after)
+
+    def fitted(groups, start):
+        def one(g, i):
+            told = F.get(new, start + i)
+            return F.lpad(told, F.greatest(F.length(g), F.length(told)), F.lit("0"))
+
+        return F.transform(groups, one)
+
+    def octets(g):
+        number = F.conv(g, 16, 10).cast("int")
+        return F.concat_ws(".", F.floor(number / 256).cast("string"), (number % 256).cast("string"))
+
+    last = fitted(after, rest)
+    end = F.concat_ws(".", octets(F.get(new, F.lit(6))), octets(F.get(new, F.lit(7))))
+    last = F.when(dotted != "", F.concat(F.slice(last, 1, F.size(after) - 2), F.array(end))).otherwise(last)
+    left_out = F.slice(new, F.size(before) + 1, rest - F.size(before))
+    between = F.when(F.forall(left_out, lambda g: g == "0"), F.lit("::")).otherwise(
+        F.concat(
+            F.when(F.size(before) > 0, F.lit(":")).otherwise(F.lit("")), F.array_join(left_out, ":"),
+            F.when(F.size(after) > 0, F.lit(":")).otherwise(F.lit("")),
+        )
+    )
+    return F.when(~F.contains(text, F.lit("::")), F.array_join(last, ":")).otherwise(
+        F.concat(F.array_join(fitted(before, F.lit(0)), ":"), between, F.array_join(last, ":"))
+    )
+
+
 def rendered(kind: Column, text: Column, surrogate: Column) -> Column:
     """A surrogate in the format of a mention's part."""
     size = F.length(surrogate)
@@ -290,6 +388,8 @@ def rendered(kind: Column, text: Column, surrogate: Column) -> Column:
         .when(kind.isin("phone", "card", "ssn"), by_character(digit))
         .when(kind.isin("iban", "aws_key"), by_character(spaced))
         .when(kind.isin("secret", "ipv4"), surrogate)
+        .when((kind == "ipv6") & shouted, F.upper(_ipv6_rendered(text, surrogate)))
+        .when(kind == "ipv6", _ipv6_rendered(text, surrogate))
         .when(shouted, F.upper(surrogate))
         .otherwise(surrogate)
     )

@@ -1,3 +1,4 @@
+import ipaddress
 import random
 import re
 from collections import defaultdict
@@ -142,3 +143,58 @@ def test_empty_table_and_no_python(spark, docs):
     assert empty.collect() == []
     plan = empty._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# planted mentions, told apart from the text by hand and not by the operator's pattern
+PLANTED = [
+    ("ipv6", "2001:db8::1"), ("ipv6", "fe80::1ff:fe23:4567:890a"), ("ipv6", "2001:DB8:0::A1"), ("ipv6", "fdab::cafe"),
+    ("ipv6", "2a02:26f0::"), ("ipv6", "64:ff9b::c000:221"), ("ipv6", "::ffff:192.0.2.128"), ("ipv6", "1:2:3:4:5:6:7::"),
+    ("ipv6", "::2:3:4:5:6:7:8"), ("ipv6", "2001:db8:1:2:3:4:192.0.2.33"), ("ipv6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+    ("phone", "+44 20 7946 0958"), ("phone", "+33 1 23 45 67 89"), ("phone", "+49 (30) 123456"),
+    ("phone", "+44 (0)161 496 0123"), ("phone", "+49 30/123-45-67"), ("phone", "+86 139 1234 5678"),
+    ("phone", "+41\u00a044\u00a0668\u00a018\u00a000"), ("phone", "+1.269.555.3296"), ("phone", "+4915112345678"),
+    ("secret", "hunter22x"), ("secret", "two words here"), ("secret", "it's long"), ("secret", 'a\\"b c9'), ("secret", "C:\\dir\\"),
+]
+SECRETS = {
+    "hunter22x": '{"password": "hunter22x", "n": 1}', "two words here": "passphrase = 'two words here' ok",
+    "it's long": 'Secret: "it\'s long"', 'a\\"b c9': '{"api_key":"a\\"b c9"}', "C:\\dir\\": 'token="C:\\dir\\" ok',
+}
+
+
+def test_planted_mentions_go(spark, docs):
+    rows = [(i, SECRETS.get(m, f"(from {m}: yes) addr:{m}, {m}.")) for i, (_, m) in enumerate(PLANTED)]
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(docs(rows), KEY).collect()}
+    for i, old in rows:
+        kind, mention = PLANTED[i]
+        before, *kept = old.split(mention)
+        new = re.fullmatch(re.escape(before) + "".join("(.+)" + re.escape(k) for k in kept), got[i].text, re.S)
+        assert new and mention not in got[i].text, (old, got[i].text)
+        assert got[i].n_replaced == len(kept) and len(set(new.groups())) == 1, (old, got[i].text)
+        told = new[1]
+        if kind == "ipv6":
+            address, was = ipaddress.ip_address(told), ipaddress.ip_address(mention)
+            assert address.version == 6 and address != was
+            assert [g == "" for g in told.split(":")] == [g == "" for g in mention.split(":")] and ("." in told) == ("." in mention)
+        elif kind == "phone":
+            assert shape(told) == shape(mention)
+        else:
+            assert len(told) == len(mention) and [c.isalnum() for c in told] == [c.isalnum() for c in mention]
+
+
+def test_one_address_has_one_surrogate(spark, docs):
+    ways = ["2001:db8::1", "2001:DB8:0:0::1", "2001:0db8:0:0:0:0:0:0001", "2001:db8:0:0:0:0:0.0.0.1"]
+    got = {r.doc_id: r.text for r in surrogates.replace_personal_data(docs(list(enumerate(ways))), KEY).collect()}
+    assert len({ipaddress.ip_address(t) for t in got.values()}) == 1 and not set(got.values()) & set(ways)
+    assert got[1] == got[1].upper() and [len(g) for g in got[2].split(":")] == [len(g) for g in ways[2].split(":")]
+
+
+def test_what_only_looks_like_a_mention_stays(spark, docs):
+    rows = ["a[::2] a[1::2] a[10::] std::vector DB::add() x :: y Face::add ::1 12:30:15", "+1 000 and +12 3456 and 1 2 3 4 5 6 7 8",
+            "password: \"abc\" token", "1::2::3 1:2:3:4:5:6:7:8:9 1:2:3::4:5:6:7:8"]
+    got = surrogates.replace_personal_data(docs(list(enumerate(rows))), KEY).collect()
+    assert {r.text for r in got} == set(rows)
+
+
+def test_long_quoted_value(spark, docs):
+    (got,) = surrogates.replace_personal_data(docs([(1, 'password="' + 'q \\"' * 20_000 + '" end')]), KEY).collect()
+    assert got.n_replaced == 1 and len(got.text) == 80_015 and got.text.endswith('" end')
