@@ -50,12 +50,13 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Among equal payloads of at least ``least_bytes`` the smallest ``page_id`` is
     the response and the others refer to it.  The payload of revisits is null.
+    Rows that share a ``page_id`` are judged each by its own payload.
     """
     html = F.coalesce("html", F.lit(""))
+    payload = F.concat(F.sha1(html), F.lit("-"), F.octet_length(html))
     narrow = pages.where("page_id IS NOT NULL").select(
-        "page_id", F.concat(F.sha1(html), F.lit("-"), F.octet_length(html)).alias("payload"),
-        F.octet_length(html).alias("bytes"),
-    )
+        "page_id", payload.alias("payload"), F.octet_length(html).alias("bytes")
+    )
     firsts = (
         narrow.where(F.col("bytes") >= least_bytes)
         .groupBy("payload")
@@ -65,12 +66,12 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     firsts = materialize(firsts, "repeated-payloads")  # read for its heaviest keys, too
     # one payload may be that of a large part of all pages
     found = lookup_join(narrow.select("page_id", "payload"), firsts, "payload", "n", ["page_id"])
-    revisits = found.where("first <> page_id").select("page_id", F.col("first").alias("refers_to")).distinct()
+    revisits = found.where("first <> page_id").select("page_id", "payload", F.col("first").alias("refers_to")).distinct()
     told = pages.select(
         "page_id", "url", url_key(F.col("url")).alias("url_key"), "captured", html.alias("html"),
-        F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"),
+        F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"), payload.alias("payload"),
     )
-    return told.join(revisits, "page_id", "left").withColumn(
+    return told.join(revisits, ["page_id", "payload"], "left").withColumn(
         "html", F.when(F.col("refers_to").isNull(), F.col("html"))
     )
 

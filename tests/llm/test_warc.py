@@ -62,6 +62,13 @@ def test_round_trip_and_order(spark, least_bytes, file_bytes):
     assert one.url_key == "b,a)/"
 
 
+def test_rows_of_one_page_keep_their_own_payloads(spark):
+    rows = [(1, "http://a/", "A"), (2, "http://a/", "A"), (2, "http://a/", "only here"), (3, "http://a/", "B")]
+    rows += [(4, "http://a/", "A"), (4, "http://a/", "B"), (4, "http://a/", "A"), (1, "http://a/", "first page, too")]
+    got = warc.capture_index(warc.write_archives(pages(spark, rows), F.lit(None))).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == expected(rows, 0)
+
+
 def test_empty_table(spark):
     archives = warc.write_archives(pages(spark, []), F.lit(None))
     assert warc.capture_index(archives).collect() == []
