@@ -5,6 +5,7 @@ Parquet before the next one reads it.  Stages but the last return the columns of
 ``documents``; clean documents stay, and where a text changes ``n_chars`` follows.
 """
 
+from pyspark.sql import functions as F
 
 from clicktide.llm import jaccard_join, line_dedup, packing, queries, surrogates, toxicity
 from clicktide.llm.common import by_ids, materialize, table, with_new_text
@@ -23,11 +24,27 @@ def drop_repeated_lines(spark, docs, sf_dir):
     return with_new_text(kept, docs.columns, "kept")
 
 
+def _numbered_rows(docs):
+    """Rows with a number each as ``doc_id``, by their own id (none: last) and text; that id is ``_given_id``."""
+    rows = docs.withColumnRenamed("doc_id", "_given_id").withColumn("doc_id", F.monotonically_increasing_id())
+    order = [F.col("_given_id").asc_nulls_last(), F.col("_hash").asc(), F.col("doc_id").asc()]
+    ranged = rows.withColumn("_hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ranged.drop("_hash").withColumn("doc_id", F.monotonically_increasing_id()), "numbered-rows")
+
+
 def keep_one_of_each(spark, docs, sf_dir):
-    """The smallest ``doc_id`` of every group of near duplicates."""
-    found = jaccard_join.near_duplicates(docs, words=5, num=80, den=100)
+    """One row of every group of near duplicates: that of the smallest ``doc_id``, before rows without one.
+
+    Every row is a document of its own, also without an id or with one that other
+    rows have; among rows of one id the smallest hash of the text stays.
+    """
+    shared = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    own = shared.isEmpty()
+    rows = docs if own else _numbered_rows(docs)
+    found = jaccard_join.near_duplicates(rows, words=5, num=80, den=100)
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
-    return by_ids(docs, gone, "left_anti").select(*docs.columns)
+    kept = by_ids(rows, gone, "left_anti")
+    return kept.select(*[c if own or c != "doc_id" else F.col("_given_id").alias(c) for c in docs.columns])
 
 
 def replace_personal_data(spark, docs, sf_dir):

@@ -110,6 +110,16 @@ def test_odd_tables(spark):
         assert (docs.count() > 0) == bool(data)
 
 
+def test_one_row_of_each_stays_without_ids_and_with_shared_ids(spark, docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (None, a), (1, a), (None, a + " more"), (2, b), (2, a), (3, c), (None, d), (None, d), (None, None), (4, ""), (5, b)]
+    before = docs(rows)
+    after = corpus_pipeline.keep_one_of_each(spark, before, SF)
+    assert after.columns == before.columns
+    got = sorted(((r.doc_id, r.text) for r in after.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, d), (None, None), (4, "")], key=repr)
+
+
 def test_run_is_registered():
     entry = importlib.import_module("__spark_entry__")
     assert entry.queries()["pipeline"] is corpus_pipeline.run
