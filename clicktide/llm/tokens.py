@@ -4,13 +4,14 @@ The tokenizer this is made for normalises white space, lower-cases and splits
 into runs of letters, single digits and runs of other characters before its
 merges.  No step looks across a space, so the ids of a text are those of its
 words in a row.  Words repeat, so the ids of words and of their runs are kept in
-bounded caches of the worker.
+bounded caches of the worker.  The tokenizer's own special tokens are found in a
+text as the library finds them: a word that holds one goes through the library.
 """
 
 import re
 from functools import lru_cache
+from struct import Struct
 
-import numpy as np
 from tokenizers import Tokenizer
 
 from clicktide.llm.cache import Cache, hold
@@ -22,6 +23,7 @@ _LATIN = "À-ÖØ-öø-įı-ſ"
 _PLAIN = re.compile(f"[!-~{_LATIN}]+")
 _STRETCH = 1 << 20
 _RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z{_LATIN}0-9]+")
+_PACKERS = [Struct(f"<{n}I").pack for n in range(32)]
 
 
 def _byte_characters() -> dict[int, str]:
@@ -32,6 +34,10 @@ def _byte_characters() -> dict[int, str]:
     return table | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else Struct(f"<{len(ids)}I").pack(*ids)
+
+
 class WordEncoder:
     """Encodes texts as packed little-endian unsigned 32-bit ids.
 
@@ -40,22 +46,31 @@ class WordEncoder:
     distinct word goes through the library's whole chain.
     """
 
-    def __init__(self, path: str, latin_runs: bool = True, kept: int = 1 << 17):
+    def __init__(self, path: str, latin_runs: bool = True, kept: int = 1 << 18):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # in a text they are ordinary text
+        added = self.library.get_added_tokens_decoder().values()
+        self.special = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)").search
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or re.search(r"\s", t.content) for t in added):
+            raise ValueError("special tokens that look at the text around them")
+        self.tokenize = self.library.model.tokenize
         self.latin_runs = latin_runs
         self.characters = _byte_characters()
-        self.runs = Cache(self._run, 2 * kept)
+        self.runs = Cache(self._run, kept)
         self.words = Cache(self._word, kept)
 
     def _run(self, run):
         spelled = run if run.isascii() else "".join(map(self.characters.__getitem__, run.encode()))
-        return np.array([t.id for t in self.library.model.tokenize(spelled)], "<u4").tobytes()
+        return _packed([t.id for t in self.tokenize(spelled)])
 
     def _word(self, word):
-        if self.latin_runs and _PLAIN.fullmatch(word):
-            return b"".join(map(self.runs.__getitem__, _RUNS.findall(word.lower())))
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        # printable text without a space in it is what the pattern means by plain ASCII
+        plain = word.isprintable() if word.isascii() else _PLAIN.fullmatch(word)
+        if self.latin_runs and plain:
+            if word.isalpha():
+                return self.runs[word.lower()]
+            if not self.special(word):
+                return b"".join(map(self.runs.__getitem__, _RUNS.findall(word.lower())))
+        return _packed(self.library.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if len(text) <= _STRETCH:

@@ -12,7 +12,8 @@ from clicktide.llm.queries import WORD_TOKENIZER
 from clicktide.llm.tokens import word_encoder
 
 ODD = [
-    "", " ", "a", "The cat's  HAT\tisn't\n\n2024²x", "É é é İstanbul ſ K ΑΣ", "<|endoftext|> a<|startoftext|>",
+    "", " ", "a", "The cat's  HAT\tisn't\n\n2024²x", "É é é İstanbul ſ K ΑΣ", "<|endoftext|> a<|startoftext|>", "a <|endoftext|> b", "it's<|endoftext|>'s", "<|ENDOFTEXT|> <|endoftext |>",
+    "é<|endoftext|><|endoftext|>É", "<|endoftext", "|>",
     "\x00\x1c\x85\xa0b", "日本語 テスト😀👍🏽", "x" * 5000, "a" * 63 + " " + "é" * 70, "don't 'S ''ll we'LL´s", "½①Ⅷ٣ 12.5",
     "́abc ́", "ŉ ŀ ĳ ß ẞ", "a b　c",
 ]
@@ -20,9 +21,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def library():
-    made = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def ids_of(library, text):
@@ -44,10 +43,22 @@ def test_long_texts_by_stretches(library, monkeypatch):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=40))
-def test_any_text_is_encoded_as_the_library_does(text):
-    encoder = word_encoder(WORD_TOKENIZER)
-    want = encoder.library.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+def test_any_text_is_encoded_as_the_library_does(library, text):
+    assert np.frombuffer(word_encoder(WORD_TOKENIZER).encode(text), "<u4").tolist() == ids_of(library, text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "É", " ", "\n", "'s", "endoftext", "7"]), max_size=12))
+def test_special_tokens_as_the_library_finds_them(library, parts):
+    text = "".join(parts)
+    assert np.frombuffer(word_encoder(WORD_TOKENIZER).encode(text), "<u4").tolist() == ids_of(library, text)
+
+
+def test_a_very_long_text(library):
+    line = "one two <|endoftext|>don't \u00c9t\u00e9\n"
+    text = line * 60_000
+    got = np.frombuffer(word_encoder(WORD_TOKENIZER).encode(text), "<u4")
+    assert len(text) > 1 << 20 and got.tolist() == ids_of(library, line) * 60_000
 
 
 @settings(max_examples=100, deadline=None)
