@@ -28,24 +28,33 @@ _SLACK = 1e-9  # for rounding in lengths and cosines; only ever admits more cand
 
 
 def quantise(vectors: DataFrame, scale: float = 256.0, id_column="vec_id", vector_column="embedding") -> DataFrame:
-    """``vec_id, length, cells``: floor(scale * x) of every component, packed as 32-bit integers.
+    """``vec_id, length, dims, cells``: floor(scale * x) of every component.
 
-    Rows without an id, null vectors and vectors with null or non-finite
-    components are left out, and so are vectors of a length over 2**31, whose
-    scores a long cannot hold.
+    Cells are packed as 32-bit integers or, where one of a vector does not fit,
+    as doubles, which hold any such integer exactly.  Rows without an id, null
+    vectors and vectors with null or non-finite components are left out.  A finite
+    component whose cell exceeds the range of doubles is an error.
     """
     given = vectors.select(
         vectors[id_column].cast("long").alias("vec_id"),
         vectors[vector_column].cast("array<double>").alias("vector"),
     ).where("vec_id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
-    return given.mapInArrow(partial(_quantise, scale=scale), "vec_id long, length double, cells binary")
+    return given.mapInArrow(partial(_quantise, scale=scale), "vec_id long, length double, dims int, cells binary")
+
+
+def _norm(cells) -> float:
+    most = np.abs(cells).max(initial=0.0)
+    return float(most * np.sqrt(np.square(cells / most).sum())) if most > 1e150 else float(np.sqrt(cells @ cells))
 
 
 def _quantise(batches, scale):
     for batch in batches:
         lists = batch.column("vector").combine_chunks() if hasattr(batch.column("vector"), "combine_chunks") else batch.column("vector")
+        given = lists.flatten().to_numpy(zero_copy_only=False)
         with np.errstate(over="ignore", invalid="ignore"):
-            flat = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False))
+            flat = np.floor(scale * given)
+            if (np.isfinite(given) & ~np.isfinite(flat)).any():
+                raise ValueError("a component is too large to be quantised")
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             sums = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(flat), 0, 1))])
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -54,14 +63,13 @@ def _quantise(batches, scale):
         for vec_id, a, b in zip(batch.column("vec_id").to_pylist(), starts, ends):
             if sums[b] == sums[a]:
                 cells = flat[a:b]
-                square = float(cells @ cells)
-                if square < 2.0**62:
-                    rows.append((vec_id, square**0.5, cells.astype("<i4").tobytes()))
+                narrow = np.abs(cells).max(initial=0.0) < 2.0**31
+                rows.append((vec_id, _norm(cells), int(b - a), cells.astype("<i4" if narrow else "<f8").tobytes()))
         if rows:
-            ids, lengths, cells = zip(*rows)
+            ids, lengths, dims, cells = zip(*rows)
             yield pa.RecordBatch.from_pydict(
                 {"vec_id": pa.array(ids, pa.int64()), "length": pa.array(lengths, pa.float64()),
-                 "cells": pa.array(cells, pa.binary())}
+                 "dims": pa.array(dims, pa.int32()), "cells": pa.array(cells, pa.binary())}
             )
 
 
@@ -75,11 +83,12 @@ def _pack(batches, rows_per_block):
     part, seq, held = TaskContext.get().partitionId(), 0, []
 
     def block():
-        ids, lengths, cells = zip(*held)
-        dims = max(len(c) for c in cells) // 4
-        matrix = np.zeros((len(held), dims), "<i4")
-        for row, raw in zip(matrix, cells):
-            row[: len(raw) // 4] = np.frombuffer(raw, "<i4")
+        ids, lengths, widths, cells = zip(*held)
+        dims = max(widths)
+        kinds = ["<f8" if len(raw) > 4 * n else "<i4" for raw, n in zip(cells, widths)]
+        matrix = np.zeros((len(held), dims), "<f8" if "<f8" in kinds else "<i4")
+        for row, raw, n, kind in zip(matrix, cells, widths, kinds):
+            row[:n] = np.frombuffer(raw, kind)
         return pa.RecordBatch.from_pydict(
             {"block": pa.array([part << 32 | seq], pa.int64()), "longest": [max(lengths)],
              "ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
@@ -88,7 +97,7 @@ def _pack(batches, rows_per_block):
         )
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "length", "cells"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "length", "dims", "cells"))):
             held.append(row)
             if len(held) == rows_per_block:
                 yield block()
@@ -98,15 +107,31 @@ def _pack(batches, rows_per_block):
 
 
 def _matrix(raw, n, dims, width):
-    cells = np.frombuffer(raw, "<i4").reshape(n, dims)
+    cells = np.frombuffer(raw, "<f8" if len(raw) > 4 * n * dims else "<i4").reshape(n, dims)
     return np.pad(cells, ((0, 0), (0, width - dims))) if width > dims else cells
 
 
 # --- one block of queries against one bucket --------------------------------
 
 
+NO_LONG = 2**63 - 1  # stands for any score beyond the range of a long
+
+
+def _whole_numbers(cells):
+    """The cells as Python integers, whose products never overflow."""
+    made = np.empty(cells.shape, object)
+    made[:] = [[int(x) for x in row] for row in cells]
+    return made
+
+
+def _not_above(score: int) -> float:
+    """The score as a double, rounded down."""
+    told = float(score)
+    return told if int(told) <= score else float(np.nextafter(told, -np.inf))
+
+
 def search_bucket(queries, query_lengths, least, vectors, lengths, k, query_ids, ids, count=None):
-    """``(query row, vector row, score)`` of the ``k`` best of each query that reach ``least``.
+    """``(query row, vector row, score)`` of the ``k`` best of each query that reach ``least``; scores are exact.
 
     ``lengths`` of the bucket descend.  ``least`` may be -inf.  A vector with the
     query's own id takes no part.  ``count`` is told how each query was pruned.
@@ -114,8 +139,15 @@ def search_bucket(queries, query_lengths, least, vectors, lengths, k, query_ids,
     found = []
     real = queries.astype(np.float64)
     exact = vectors.astype(np.float64)
-    # sums stay below the product of the lengths, so doubles hold them exactly up to 2**53
-    doubles = query_lengths.max(initial=0) * lengths.max(initial=0) < 2**53
+    # sums stay below the product of the lengths, so doubles hold them exactly up to 2**53 and longs up to 2**63
+    most = query_lengths.max(initial=0) * lengths.max(initial=0)
+    cells = max(np.abs(real).max(initial=0), np.abs(exact).max(initial=0))
+    if most < 2**53:
+        q_cells, v_cells = real, exact
+    elif most < 2**62 and cells < 2**62:
+        q_cells, v_cells = queries.astype(np.int64), vectors.astype(np.int64)
+    else:
+        q_cells, v_cells = _whole_numbers(queries), _whole_numbers(vectors)
     need = np.divide(least, query_lengths, out=np.full(len(queries), -np.inf), where=query_lengths > 0)
     need = np.where(query_lengths > 0, need, np.where(least > 0, np.inf, -np.inf))
     local = need / max(lengths[0], 1e-300) if len(lengths) else need
@@ -130,11 +162,15 @@ def search_bucket(queries, query_lengths, least, vectors, lengths, k, query_ids,
         candidates, scores = candidates[own], scores[own]
         enough = scores >= least[row]
         candidates, scores = candidates[enough], scores[enough]
+        if scores.dtype == object:
+            best = sorted(range(len(scores)), key=lambda i: (-scores[i], ids[candidates[i]]))[:k]
+            found.extend((row, int(candidates[i]), max(-NO_LONG, min(NO_LONG, scores[i]))) for i in best)
+            return
         if len(scores) > k:
             edge = np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = scores >= edge
             candidates, scores = candidates[keep], scores[keep]
-        best = np.lexsort((ids[candidates], -scores.astype(np.float64) if doubles else -scores))[:k]
+        best = np.lexsort((ids[candidates], -scores))[:k]
         found.extend((row, int(candidates[i]), int(scores[i])) for i in best)
 
     rows = np.flatnonzero(by_length)
@@ -144,7 +180,7 @@ def search_bucket(queries, query_lengths, least, vectors, lengths, k, query_ids,
         upto = np.searchsorted(-lengths, -np.minimum(reach, lengths[0]), side="right")
         upto = np.where(reach <= 0, len(lengths), upto)
         widest = int(upto.max())
-        products = real[rows] @ exact[:widest].T if doubles else queries[rows].astype(np.int64) @ vectors[:widest].astype(np.int64).T
+        products = q_cells[rows] @ v_cells[:widest].T
         for row, n, scores in zip(rows, upto, products):
             take(row, np.arange(n), scores[:n])
     rows = np.flatnonzero(by_coordinate)
@@ -171,8 +207,7 @@ def search_bucket(queries, query_lengths, least, vectors, lengths, k, query_ids,
                 inside = by[np.searchsorted(values, low, "left") : np.searchsorted(values, high, "right")]
                 alive = inside if alive is None else np.intersect1d(alive, inside, assume_unique=True)
             if len(alive):
-                scores = exact[alive] @ real[row] if doubles else vectors[alive].astype(np.int64) @ queries[row].astype(np.int64)
-                take(row, alive, scores)
+                take(row, alive, v_cells[alive] @ q_cells[row])
     return found
 
 
@@ -191,7 +226,7 @@ def _seed_thresholds(batches, k):
                 scores.setdefault(at, []).append(score)
             for at, best in scores.items():
                 if len(best) == k:
-                    least[at] = min(best)
+                    least[at] = _not_above(min(best))
             # a bucket can matter to the block if it holds a vector of this length
             need = np.where(lengths > 0, least / np.maximum(lengths, 1e-300), np.where(least > 0, np.inf, -np.inf))
             yield pa.RecordBatch.from_pydict(
@@ -213,9 +248,9 @@ def _search_pairs(batches, k):
                 np.frombuffer(row["v_lengths"], "<f8"), k, ids, v_ids,
             )
             if found:
-                at, vector, score = map(np.array, zip(*found))
+                at, vector, score = zip(*found)
                 yield pa.RecordBatch.from_pydict(
-                    {"query_id": pa.array(ids[at]), "vec_id": pa.array(v_ids[vector]), "score": pa.array(score, pa.int64())}
+                    {"query_id": pa.array(ids[list(at)]), "vec_id": pa.array(v_ids[list(vector)]), "score": pa.array(score, pa.int64())}
                 )
 
 
@@ -237,7 +272,8 @@ def top_products(
     vectors that take no part.  Vectors of different width are compared as if the
     shorter one ended in zeros.  Rows that share an id are each other's own rows
     and never in each other's result.  Without queries or other vectors there is
-    no row.
+    no row.  Vectors may have any length and number of components; a score of the
+    result that a long cannot hold is an error.
     """
     spark = vectors.sparkSession
     cells = materialize(quantise(vectors, scale), "quantised")
@@ -275,8 +311,9 @@ def top_products(
     found = work.mapInArrow(partial(_search_pairs, k=k), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    too_large = F.raise_error(F.lit("a score exceeds the range of a long")).cast("long")
     return (
         best.withColumn("rank", F.row_number().over(place))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", F.when(F.abs("score") == NO_LONG, too_large).otherwise(F.col("score")).alias("score"))
     )

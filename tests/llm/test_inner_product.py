@@ -72,12 +72,35 @@ def test_all_prunings_are_exact():
 
 
 def test_large_components_and_ragged_vectors(spark):
-    rows = f32([(0, [8.0e5, 3.0]), (1, [7.9e5]), (2, [1.0e30]), (3, [2.0, 2.0, 5.0]), (50, []), (51, [-1.0e6, 4.0])])
-    usable = [r for r in rows if r[0] != 2]
-    pad = [(i, v + [0.0] * (3 - len(v))) for i, v in usable]
+    rows = f32([(0, [8.0e5, 3.0]), (1, [7.9e5]), (3, [2.0, 2.0, 5.0]), (50, []), (51, [-1.0e6, 4.0])])
+    pad = [(i, v + [0.0] * (3 - len(v))) for i, v in rows]
     assert search(spark, rows) == brute(pad)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"bucket_rows": 3, "query_rows": 2}])
+def test_long_vectors_take_part(spark, sizes):
+    # lengths of 2**31 and more: scores beyond doubles, and beyond longs on the way
+    rows = f32([(0, [9.0e6, 0.0]), (1, [9.0e6, 1.0]), (2, [3.0, -1.0]), (3, [9.0e6, 1.0001]), (50, [0.0, 1.0e30]), (51, [1.0e7, -3.0]), (100, [1.0e12, 1.0])])
+    rows += [(200 + i, [1000.0 + i, 0.0]) for i in range(9)] + [(300, [-2.0e7, 0.0])]
+    usable = [r for r in rows if r[0] not in (50, 100)]
+    assert search(spark, usable, **sizes) == brute(usable)
+    few = [(0, [1.0e30, 0.0]), (2, [0.0, 5.0]), (3, [0.0, -1.0])] + [(i, [0.0, 0.5]) for i in range(10, 14)]
+    assert search(spark, f32(few), **sizes) == brute(f32(few))
+    with pytest.raises(Exception, match="exceeds the range of a long"):
+        search(spark, f32([(0, [1.0e30]), (1, [1.0e30])]), **sizes)
+
+
+def test_exact_beyond_doubles():
+    q = np.array([[2.0**40 + 2**20, 3.0]])
+    v = np.array([[2.0**41, 5.0], [2.0**41, 6.0], [2.0**60, -1.0]])
+    lengths = np.sqrt((v**2).sum(axis=1))
+    order = np.argsort(-lengths)
+    got = inner_product.search_bucket(q, np.sqrt((q**2).sum(axis=1)), np.array([-np.inf]), v[order], lengths[order], 5, np.array([9]), order)
+    want = [sum(int(a) * int(b) for a, b in zip(q[0], row)) for row in v]
+    # the query's product with the longest needs more than 63 bits
+    assert {order[i]: s for _, i, s in got} == {i: min(w, inner_product.NO_LONG) for i, w in enumerate(want)}
+
+
 def test_equal_vectors_in_bulk(spark):
     rows = f32([(i, [0.25, -0.5]) for i in range(300)])
     assert search(spark, rows, bucket_rows=8, query_rows=4) == brute(rows)
