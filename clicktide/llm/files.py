@@ -3,7 +3,8 @@
 A task writes under a name no other attempt can have and returns the name in
 its rows.  Those rows are written as a table; Spark commits only one attempt of
 each task, so a name found in the table is a complete file, whatever executors
-were lost.  Files of failed attempts are never read.
+were lost.  Files of failed attempts are never read.  Bytes are stored as they
+are given, whatever the name ends in.
 """
 
 import posixpath
@@ -26,15 +27,15 @@ def create(path: str):
     """An output stream; missing folders are made."""
     system, place = _resolve(path)
     system.create_dir(posixpath.dirname(place), recursive=True)
-    return system.open_output_stream(place)
+    return system.open_output_stream(place, compression=None)
 
 
 def read_bytes(path: str) -> bytes:
     system, place = _resolve(path)
-    with system.open_input_stream(place) as stream:
+    with system.open_input_stream(place, compression=None) as stream:
         return stream.read()
 
 
 def open_stream(path: str):
     system, place = _resolve(path)
-    return system.open_input_stream(place)
+    return system.open_input_stream(place, compression=None)

@@ -9,9 +9,11 @@ the capture histories of all URLs in order.
 
 import base64
 import hashlib
+import json
+import re
 import uuid
 import zlib
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from functools import partial
 
 import pyarrow as pa
@@ -25,6 +27,8 @@ from clicktide.plans.skew import lookup_join
 
 _SPACE = uuid.UUID("7b1e4c1e-2f0b-4a5e-9a55-0d2f6f6f9c11")  # names of record ids
 _STEP = 8192
+_JSON = "X-Json-"
+_FIRST, _LAST = -62_135_596_800_000_000, 253_402_300_799_999_999  # microseconds of the years 1 to 9999
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -46,7 +50,7 @@ def url_key(url: Column) -> Column:
 
 
 def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Captures with the digest and size of their payload and, for revisits, ``refers_to``.
+    """Captures with the digest and size of their payload and, for revisits, the page, time and URL they refer to.
 
     Among equal payloads of at least ``least_bytes`` the smallest ``page_id`` is
     the response and the others refer to it.  The payload of revisits is null.
@@ -55,18 +59,18 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     payload = F.concat(F.sha1(html), F.lit("-"), F.octet_length(html))
     narrow = pages.where("page_id IS NOT NULL").select(
-        "page_id", payload.alias("payload"), F.octet_length(html).alias("bytes")
+        "page_id", payload.alias("payload"), F.octet_length(html).alias("bytes"), "captured", "url"
     )
     firsts = (
         narrow.where(F.col("bytes") >= least_bytes)
         .groupBy("payload")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("page_id", "captured", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
     firsts = materialize(firsts, "repeated-payloads")  # read for its heaviest keys, too
     # one payload may be that of a large part of all pages
     found = lookup_join(narrow.select("page_id", "payload"), firsts, "payload", "n", ["page_id"])
-    revisits = found.where("first <> page_id").select("page_id", "payload", F.col("first").alias("refers_to")).distinct()
+    revisits = found.where("first.page_id <> page_id").select("page_id", "payload", F.col("first").alias("refers_to")).distinct()
     told = pages.select(
         "page_id", "url", url_key(F.col("url")).alias("url_key"), "captured", html.alias("html"),
         F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"), payload.alias("payload"),
@@ -79,8 +83,9 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 # --- records ----------------------------------------------------------------
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, str(page_id))}>"
+def record_id(path: str, seq: int) -> str:
+    """No two records share an id: names of archives are unique."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{path}#{seq}')}>"
 
 
 def base32(sha1_hex: str) -> str:
@@ -92,36 +97,53 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
+_CONTROL = re.compile("[\x00-\x1f\x7f]")
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
+
 def _plain(value: str) -> str:
-    """A header value on one line."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    """A header value on one line: control characters as percent escapes, all else as it is."""
+    return _CONTROL.sub(lambda c: f"%{ord(c[0]):02X}", value)
+
+
+def _told(name: str, value: str) -> list[tuple[str, str]]:
+    """A header, and where it can't hold the whole value that value as JSON in a second one."""
+    plain = _plain(value)
+    whole = plain == value and value == value.strip()
+    return [(name, plain)] + ([] if whole else [(f"{_JSON}{name}", json.dumps(value))])
 
 
-def _original(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _original(headers: dict, name: str) -> str | None:
+    given = headers.get(f"{_JSON}{name}")
+    return headers.get(name) if given is None else json.loads(given)
 
 
-def capture_record(page_id, url, key, captured: datetime, payload: bytes | None, sha1: str, size: int, refers_to):
+def _date(micros: int) -> str:
+    moment = _EPOCH + timedelta(microseconds=micros)
+    return moment.replace(tzinfo=None).isoformat(timespec="microseconds") + "Z"
+
+
+def capture_record(name, page_id, url, key, captured: int, payload: bytes | None, sha1: str, size: int, refers_to):
+    """The bytes of a record; ``refers_to`` is (page_id, captured, url) of a revisit's response."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
-        ("WARC-Date", captured.strftime("%Y-%m-%dT%H:%M:%S.%fZ")),
+        ("WARC-Record-ID", name),
+        ("WARC-Date", _date(captured)),
         ("WARC-Payload-Digest", f"sha1:{base32(sha1)}"),
         ("Content-Type", "application/http; msgtype=response"),
-        ("X-Url-Key", _plain(key)),
+        *_told("X-Url-Key", key),
         ("X-Payload-Bytes", str(size)),
     ]
     if url is not None:
-        headers.append(("WARC-Target-URI", _plain(url)))
+        headers += _told("WARC-Target-URI", url)
     if page_id is not None:
         headers.append(("X-Page-Id", str(page_id)))
     if refers_to is not None:
-        headers += [
-            ("WARC-Profile", _PROFILE),
-            ("WARC-Refers-To", record_id(refers_to)),
-            ("X-Refers-To-Page-Id", str(refers_to)),
-        ]
+        other, when, where = refers_to
+        headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To-Date", _date(when)), ("X-Refers-To-Page-Id", str(other))]
+        if where is not None:
+            headers.append(("WARC-Refers-To-Target-URI", _plain(where)))
         return _record(headers, http + b"\r\n")
     return _record(headers, http + f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload)
 
@@ -167,14 +189,17 @@ def write_archives(pages: DataFrame, captured: Column, least_bytes: int = 0, fil
     """Write a record per page and return the table of archive files.
 
     ``pages`` needs ``page_id``, ``url`` and ``html`` (null: empty payload);
-    ``captured`` is the time of the capture (null: 1970).  Rows without a
-    ``page_id`` are responses that nothing refers to; rows that share the smallest
-    ``page_id`` of a payload are all responses.  An empty table writes no file.
+    ``captured`` is the time of the capture (null: 1970; before the year 1 or after
+    9999: the first or last moment of those years).  Rows without a ``page_id`` are
+    responses that nothing refers to; rows that share the smallest ``page_id`` of a
+    payload are all responses.  Every row has a record with an id of its own, also
+    among repeated rows.  A payload may be of any length that fits a task's memory.
+    An empty table writes no file.
     """
     folder = new_path(pages.sparkSession, "archives")
     given = pages.select(
         pages["page_id"].cast("long").alias("page_id"), "url", "html",
-        F.coalesce(F.unix_micros(captured.cast("timestamp")), F.lit(0).cast("long")).alias("captured"),
+        F.least(F.greatest(F.coalesce(F.unix_micros(captured.cast("timestamp")), F.lit(0)), F.lit(_FIRST)), F.lit(_LAST)).alias("captured"),
     )
     captures = with_roles(given, least_bytes).sortWithinPartitions("url_key", "captured", "page_id")
     captures = captures.select("page_id", "url", "url_key", "captured", "html", "sha1", "bytes", "refers_to")
@@ -198,9 +223,9 @@ def _write_archives(batches, folder, file_bytes):
             if out is None:
                 path, records, size = files.new_name(folder, f"captures-{part:06d}") + ".warc.gz", 0, 0
                 out = files.create(path)
-            moment = datetime.fromtimestamp(micros // 1_000_000, UTC).replace(microsecond=micros % 1_000_000)
             payload = html.encode() if html is not None else None
-            raw = capture_record(page_id, url, key, moment, payload, sha1, n, refers_to)
+            other = tuple(refers_to.values()) if refers_to is not None else None
+            raw = capture_record(record_id(path, records), page_id, url, key, micros, payload, sha1, n, other)
             member = zlib.compressobj(4, zlib.DEFLATED, 31)
             packed = member.compress(raw) + member.flush()
             out.write(packed)
@@ -229,13 +254,12 @@ def _read_runs(batches):
                     payload = block.partition(b"\r\n\r\n")[2]
                     if len(payload) != size or base32(hashlib.sha1(payload).hexdigest()) != digest:
                         raise ValueError(f"a payload in {path} differs from its digest")
-                moment = datetime.strptime(headers["WARC-Date"], "%Y-%m-%dT%H:%M:%S.%fZ").replace(tzinfo=UTC)
-                since = moment - datetime(1970, 1, 1, tzinfo=UTC)
+                since = datetime.fromisoformat(headers["WARC-Date"]) - _EPOCH
                 micros = (since.days * 86400 + since.seconds) * 1_000_000 + since.microseconds
-                url, page_id, other = (headers.get(h) for h in ("WARC-Target-URI", "X-Page-Id", "X-Refers-To-Page-Id"))
+                page_id, other = headers.get("X-Page-Id"), headers.get("X-Refers-To-Page-Id")
                 rows.append(
-                    (path, seq, _original(headers["X-Url-Key"]), micros, page_id and int(page_id),
-                     url and _original(url), size, digest, kind, other and int(other), offset, length)
+                    (path, seq, _original(headers, "X-Url-Key"), micros, page_id and int(page_id),
+                     _original(headers, "WARC-Target-URI"), size, digest, kind, other and int(other), offset, length)
                 )
             yield _batch(rows, _ENTRIES)
 
@@ -290,27 +314,47 @@ class LoserTree:
 _MERGED = _ENTRIES.append(pa.field("slice", pa.int32())).append(pa.field("position", pa.int64()))
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+SLICE_ROWS = 400_000
+
+
+def merge_runs(runs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """All entries with ``slice`` and ``position``, in whose order they are sorted by URL key, time and page.
 
-    Slices are ranges of the whole key, so the captures of one URL may take
-    several.  A task holds the entries of one slice, no payloads.
+    Slices are ranges of the whole key and, among equal keys, of run and place, so
+    captures of one URL, or rows that share all of the key, may take several.  They
+    have about ``slice_rows`` entries at most.  A task holds those as Arrow buffers,
+    no payloads, and turns some rows of each run at a time into keys for the tree.
     """
+    slices = max(shuffle_partitions(runs.sparkSession), -(-runs.count() // slice_rows))
     ranged = runs.repartitionByRange(
-        shuffle_partitions(runs.sparkSession), "url_key", "captured", "page_id"
+        slices, "url_key", "captured", "page_id", "run", "seq"
     ).sortWithinPartitions("run", "seq")
     return ranged.mapInArrow(_merge_slice, _ENTRY_SCHEMA + ", slice int, position long")
 
 
-def _merge_slice(batches):
+def _stretches(batches):
+    """Each run's rows as pieces of Arrow batches, in order."""
     runs: dict[str, list] = {}
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            # entries without a page sort first, as in the runs
-            key = (row[2].encode(), row[3], row[4] is not None, row[4] or 0)
-            runs.setdefault(row[0], []).append((key, row))
+        names = batch.column("run").to_pylist()
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                runs.setdefault(names[a], []).append(batch.slice(a, b - a))
+    return runs.values()
+
+
+def _keyed(pieces, step=256):
+    for piece in pieces:
+        for at in range(0, piece.num_rows, step):
+            for row in zip(*(c.to_pylist() for c in piece.slice(at, step).columns)):
+                # entries without a page sort first, as in the runs
+                yield (row[2].encode(), row[3], row[4] is not None, row[4] or 0), row
+
+
+def _merge_slice(batches):
     part, rows, position = TaskContext.get().partitionId(), [], 0
-    for row in LoserTree(runs.values()):
+    for row in LoserTree([_keyed(pieces) for pieces in _stretches(batches)]):
         rows.append((*row, part, position))
         position += 1
         if len(rows) == 10_000:
