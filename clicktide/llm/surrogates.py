@@ -33,6 +33,8 @@ GIVEN_F = {
     "greek": "Μαρία Ελένη Κατερίνα Άννα Σοφία Ιωάννα".split(),
 }
 GIVEN_U = {"latin": "Robin Alex Sasha Kim Noel Jules".split(), "cyrillic": ["Саша", "Женя"], "greek": ["Άρης", "Φως"]}
+WIDER = 8  # attempts after which a surrogate may come from a larger range
+MOST_ATTEMPTS = 64
 # One syllable for each hexadecimal digit.
 SYLLABLES = {
     "latin": "ba den fel gor hal kin lor mar nes pol rin sel tor ven wal zan".split(),
@@ -68,7 +70,8 @@ PATTERNS = {
     "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)"
     r"""["']?\s{0,3}[=:]\s{0,3}"""
     r"""(?:"(?:[^"\\\r\n]|\\.){4,}+"|'(?:[^'\\\r\n]|\\.){4,}+'|"[^"\r\n]{4,}"|'[^'\r\n]{4,}'|[^\s"',;]{4,})""",
-    "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
+    # a domain name has at most 127 labels; the bound also bounds the matcher's stack
+    "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ipv6": r"(?<!\w)(?<![0-9A-Fa-f:]:)(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:])"
     rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{6}}{_FOUR}|{_SHORTENED})(?!\w|:[\w:]|\.\d)",
     "ipv4": rf"(?<![\w.]){_FOUR}(?!\w|\.\d)",
@@ -204,23 +207,28 @@ def _as_digits(stream: Column) -> Column:
     return F.translate(stream, "abcdef", "059274")
 
 
-def masked(value: Column, stream: Column) -> Column:
-    """Every letter and digit of a value replaced by one of its class; hexadecimal text stays so."""
+def masked(value: Column, stream: Column, keep_hex: bool = True) -> Column:
+    """Every letter and digit of a value replaced by one of its class; hexadecimal text stays so with ``keep_hex``."""
     digits = _as_digits(stream)
     small = F.translate(stream, "0123456789", "ghkmpqstvx")
-    hexadecimal = value.rlike("^[0-9a-f:]{8,}$")
 
     def one(c, i):
         at = i % 128 + 1
         return (
-            F.when(hexadecimal & (c != ":"), F.substr(stream, at, F.lit(1)))
-            .when(c.rlike(r"\d"), F.substr(digits, at, F.lit(1)))
+            F.when(c.rlike(r"\d"), F.substr(digits, at, F.lit(1)))
             .when(c.rlike(r"\p{Lu}"), F.upper(F.substr(small, at, F.lit(1))))
             .when(c.rlike(r"\p{L}"), F.substr(small, at, F.lit(1)))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    def hexadecimal(c, i):
+        return F.when(c == ":", c).otherwise(F.substr(stream, i % 128 + 1, F.lit(1)))
+
+    def each(f):
+        return F.array_join(F.transform(F.split(value, ""), f), "")
+
+    # the test of the whole value stands outside of the loops over its characters
+    return F.when(value.rlike("^[0-9a-f:]{8,}$"), each(hexadecimal)).otherwise(each(one)) if keep_hex else each(one)
 
 
 def _ipv6_like(norm: Column, stream: Column, zeros: Column) -> Column:
@@ -254,9 +262,19 @@ def _syllables(stream: Column, script: str, n: Column) -> Column:
     return F.initcap(F.array_join(picked, ""))
 
 
-def _draw(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+def _with_streams(entities: DataFrame, key: str) -> DataFrame:
+    """``stream`` and ``domain_stream``, keyed hashes of an entity at an attempt and of its mail domain.
+
+    They are columns so that drawing, which goes over the characters, hashes a value once.
+    """
+    domain = F.substring_index("norm", "@", -1)
+    return entities.withColumn(
+        "stream", F.sha2(F.concat_ws("\x01", F.lit(key), "kind", "norm", F.col("attempt").cast("string")), 512)
+    ).withColumn("domain_stream", F.sha2(F.concat_ws("\x01", F.lit(key), F.lit("domain"), domain), 512))
+
+
+def _draw(kind: Column, norm: Column, attempt: Column, stream: Column, of_domain: Column) -> Column:
     """The surrogate of an entity at an attempt; later attempts have more room to differ."""
-    stream = F.sha2(F.concat_ws("\x01", F.lit(key), kind, norm, attempt.cast("string")), 512)
     digits, size = _as_digits(stream), F.length(norm)
 
     def some(first, n):
@@ -273,19 +291,25 @@ def _draw(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     )
     octets = [_number(stream, at).cast("string") for at in (3, 5, 7)]
     ipv4 = F.concat_ws(".", lead, F.when(~norm.rlike(r"^192\.168\."), octets[0]), octets[1], octets[2])
+    # a private range that is nearly used up gives way to the larger one, and that to all addresses
+    ipv4 = (
+        F.when((attempt >= WIDER) & norm.rlike(r"^(10|192\.168)\.") & (attempt < 2 * WIDER), F.concat_ws(".", F.lit("10"), *octets))
+        .when(attempt >= 2 * WIDER, F.concat_ws(".", (_number(stream, 1) % 223 + 1).cast("string"), *octets))
+        .otherwise(ipv4)
+    )
+    ssn = F.when(attempt < WIDER, F.concat(F.lit("9"), some(2, F.lit(8)))).otherwise(some(1, F.lit(9)))
     domain = F.substring_index(norm, "@", -1)
-    of_domain = F.sha2(F.concat_ws("\x01", F.lit(key), F.lit("domain"), domain), 512)
     label = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1)
     email = F.concat(
         masked(F.substring_index(norm, "@", 1), stream), F.lit("@"), masked(label, of_domain), F.lit("."),
         F.substring_index(domain, ".", -1),
     )
     drawn = (
-        F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), some(2, F.lit(8))))
+        F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn)
         .when(kind == "ipv4", ipv4).when(kind == "email", email)
-        .when(kind == "ipv6", _ipv6_like(norm, stream, attempt < 8))
-        .when(kind == "aws_key", F.concat(F.left(norm, F.lit(4)), masked(F.expr("substring(norm, 5)"), stream)))
-        .when(kind == "iban", F.concat(F.left(norm, F.lit(2)), masked(F.expr("substring(norm, 3)"), stream)))
+        .when(kind == "ipv6", _ipv6_like(norm, stream, attempt < WIDER))
+        .when(kind == "aws_key", F.concat(F.left(norm, F.lit(4)), masked(F.expr("substring(norm, 5)"), stream, False)))
+        .when(kind == "iban", F.concat(F.left(norm, F.lit(2)), masked(F.expr("substring(norm, 3)"), stream, False)))
     )
     for script in SCRIPTS:
         drawn = drawn.when(kind == f"surname:{script}", _syllables(stream, script, 3 + attempt))
@@ -296,18 +320,24 @@ def _draw(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
             drawn = drawn.when(kind == f"given:{gender}:{script}", F.when(attempt == 0, listed).otherwise(made))
     drawn = drawn.otherwise(masked(norm, stream))
     # short values have few surrogates; these end the search
-    longer = F.when((attempt >= 8) & kind.isin("secret", "email"), F.concat(F.left(stream, F.lit(6)), drawn))
+    longer = F.when((attempt >= WIDER) & kind.isin("secret", "email"), F.concat(F.left(stream, F.lit(6)), drawn))
     return F.coalesce(longer, drawn)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """A surrogate for each ``(kind, norm)``, such that no two of a kind share one and none is a real entity."""
+    """A surrogate for each ``(kind, norm)``, such that no two of a kind share one and none is a real entity.
+
+    Where the surrogates of a format run out, later attempts draw from a larger
+    range of the kind.  Entities that still have none after ``MOST_ATTEMPTS`` are
+    an error: there are more of them than surrogates.
+    """
     entities = entities.select("kind", "norm").where("norm IS NOT NULL")
     pending = entities.withColumn("attempt", F.lit(0))
     settled = None
-    while True:
+    for _ in range(MOST_ATTEMPTS):
+        surrogate = _draw(*map(F.col, ("kind", "norm", "attempt", "stream", "domain_stream")))
         drawn = materialize(
-            pending.withColumn("surrogate", _draw(F.col("kind"), F.col("norm"), F.col("attempt"), key)), "drawn"
+            _with_streams(pending, key).withColumn("surrogate", surrogate).drop("stream", "domain_stream"), "drawn"
         )
         claims = drawn.select("kind", "surrogate", F.lit(1).alias("late"), "norm")
         if settled is not None:
@@ -330,6 +360,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         pending = judged.where("NOT good").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
         if pending.isEmpty():
             return settled
+    raise ValueError(f"{pending.count()} entities have no surrogate after {MOST_ATTEMPTS} attempts")
 
 
 # --- rendering and replacing ------------------------------------------------
@@ -426,7 +457,7 @@ def replace_personal_data(docs: DataFrame, key: str, others: bool = False) -> Da
     ``key`` decides all surrogates: the same key gives the same ones for the same
     documents.  Rows without an id and repeated rows are each replaced.  An empty
     table gives no row.  With ``others`` the remaining columns come along in a
-    struct.
+    struct.  Texts may be of any length; a domain of more than 127 labels is none.
     """
     rows = documents(docs, others).withColumn("_hash", F.xxhash64("text"))
     found = materialize(
