@@ -4,12 +4,15 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from clicktide.llm import (
+    centroids,
+    collocations,
     fingerprints,
     inner_product,
     jaccard_join,
     line_dedup,
     packing,
     pieces,
+    positional_index,
     surrogates,
     token_blocks,
     toxicity,
@@ -77,14 +80,34 @@ def op10_fingerprints(spark, sf_dir):
     )
 
 
+def op11_positional_index(spark, sf_dir):
+    found = positional_index.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_ns_bounds(spark, sf_dir):
+    order = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
+    return centroids.with_inertia(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), order, k=16, rounds=3))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_token_blocks, op2_inner_product, op3_warc, op4_line_dedup, op5_surrogates, op6_pieces, op7_packing,
-        op8_toxicity, op9_jaccard_join, op10_fingerprints,
+        op8_toxicity, op9_jaccard_join, op10_fingerprints, op11_positional_index, op12_ns_bounds, op13_collocations,
     )
 }
 
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op11_positional_index": positional_index.ORACLE,
+    "op12_ns_bounds": centroids.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
