@@ -2,9 +2,9 @@
 
 Texts are cut into pieces at punctuation and those into words.  A word whose hash
 is divisible by ``trigger`` starts a new chunk, wherever it stands, so equal passages
-fall into equal chunks.  A chunk owns its words up to the next start and goes on
-for as many words as a phrase may reach beyond, so neighbours overlap; a phrase
-belongs to the chunk that owns its first word and to no other.  The distinct
+fall into equal chunks.  A chunk owns the words and ends of pieces up to the next
+start and goes on for as many words as a phrase may reach beyond, so neighbours
+overlap; a phrase belongs to the chunk that owns its first word and to no other.  The distinct
 chunks are the dictionary, with the frequency of each in the parse, and all
 counting is done on the dictionary, weighted.
 
@@ -14,6 +14,9 @@ that fall together only let a phrase through to the last pass, whose counts are
 those of the phrases themselves.
 """
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,9 +26,9 @@ from pyspark.sql import functions as F
 from clicktide.llm.common import materialize, shuffle_partitions
 
 LONGEST = 4
-TRIGGER = 16
-MOST_OWNED = 64
-BLOCK_BYTES = 4 << 20
+TRIGGER = 24
+MOST_OWNED = 256
+BLOCK_BYTES = 8 << 20
 FILTER_BITS = 27  # 2**27 bits, 16 MB, whatever the corpus; fuller filters only let more phrases through
 # A-Z in lower case; . , ; : ! ? and \x0A to \x0D end a piece, tabs are spaces
 _TABLE = bytes(
@@ -36,22 +39,40 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def _words(text: bytes) -> list[bytes]:
     """Words in a row, with a line feed at the end of each piece."""
-    return [w for w in text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ") if w]
+    return list(filter(None, text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")))
+
+
+class _Starts(dict):
+    """Whether a word starts a chunk."""
+
+    def __init__(self, trigger):
+        super().__init__()
+        self.trigger = trigger
+
+    def __missing__(self, word):
+        if len(self) > 1 << 18:
+            self.clear()
+        told = self[word] = word != b"\n" and xxhash.xxh64_intdigest(word) % self.trigger == 0
+        return told
 
 
 # --- the parse --------------------------------------------------------------
 
 
-def chunks_of(words: list[bytes], longest: int, is_start) -> list[tuple[int, bytes]]:
-    """``(owned words, chunk)`` of a row of words with line feeds between pieces."""
+def chunks_of(words: list[bytes], longest: int, starts) -> list[tuple[int, bytes]]:
+    """``(owned, chunk)`` of a row of words and line feeds: the first ``owned`` of them are in no other chunk.
+
+    Beyond those a chunk goes on for up to ``longest - 1`` words of the piece.
+    """
+    cuts = np.flatnonzero(np.fromiter(map(starts.__getitem__, words), bool, len(words))).tolist()
     out = []
-    for piece in b" ".join(words).split(b"\n"):
-        piece = [w for w in piece.split(b" ") if w]
-        starts = [i for i, w in enumerate(piece) if i == 0 or is_start(w)]
-        for a, b in zip(starts, [*starts[1:], len(piece)]):
-            for c in range(a, b, MOST_OWNED):
-                owned = min(MOST_OWNED, b - c)
-                out.append((owned, b" ".join(piece[c : c + owned + longest - 1])))
+    for a, b in zip([0, *cuts], [*cuts, len(words)]):
+        for c in range(a, b, MOST_OWNED):
+            d = min(c + MOST_OWNED, b)
+            more = words[d : d + longest - 1]
+            if b"\n" in more:
+                more = more[: more.index(b"\n")]
+            out.append((d - c, b" ".join(words[c:d] + more)))
     return out
 
 
@@ -61,16 +82,7 @@ def parse(docs: DataFrame, longest: int = LONGEST, trigger: int = TRIGGER) -> Da
     given = docs.select(lang, F.coalesce(docs["text"], F.lit("")).alias("text"))
 
     def cut(batches):
-        starts: dict[bytes, bool] = {}
-
-        def is_start(word):
-            told = starts.get(word)
-            if told is None:
-                if len(starts) > 1 << 18:
-                    starts.clear()
-                told = starts[word] = xxhash.xxh64_intdigest(word) % trigger == 0
-            return told
-
+        starts = _Starts(trigger)
         held: dict = {}
         size = 0
 
@@ -86,7 +98,7 @@ def parse(docs: DataFrame, longest: int = LONGEST, trigger: int = TRIGGER) -> Da
             for i, lang in enumerate(langs):
                 text = texts[i].as_py().encode()
                 size += len(text)
-                for owned, chunk in chunks_of(_words(text), longest, is_start):
+                for owned, chunk in chunks_of(_words(text), longest, starts):
                     key = lang, owned, chunk
                     held[key] = held.get(key, 0) + 1
                 if size > BLOCK_BYTES:
@@ -103,22 +115,25 @@ class Block:
     """Chunks of one language as arrays: word ids, and for every place its chunk's weight and the words that follow."""
 
     def __init__(self, lang: str, rows: list[tuple[int, bytes, int]]):
-        self.words = b" \n ".join(chunk for _, chunk, _ in rows).split(b" ")
-        local: dict[bytes, int] = {}
-        ids = np.fromiter((local.setdefault(w, len(local)) for w in self.words), np.int64, len(self.words))
-        self.inner = ids != local.get(b"\n", -1)
-        ends = np.append(np.flatnonzero(~self.inner), len(ids))
-        begins = np.append(0, ends[:-1] + 1)
-        lengths = ends - begins
-        place = np.arange(len(ids))
-        chunk = np.searchsorted(ends, place)
-        owned = np.array([o for o, _, _ in rows])[chunk]
-        self.weights = np.array([n for _, _, n in rows], np.int64)[chunk]
+        owned, chunks, weights = zip(*rows)
+        self.words = b" \n ".join(chunks).split(b" ")
+        local: dict[bytes, int] = defaultdict(count().__next__)
+        end = local[b"\n"]
+        self.ids = np.fromiter(map(local.__getitem__, self.words), np.int64, len(self.words))
+        self.vocabulary = list(local)
+        self.inner = self.ids != end
+        sizes = np.fromiter((c.count(b" ") for c in chunks), np.int64, len(chunks)) + 2  # with the line feed after it
+        begins = np.cumsum(sizes) - sizes
+        place = np.arange(len(self.ids))
+        chunk = np.repeat(np.arange(len(chunks)), sizes)[: len(self.ids)]
+        self.weights = np.array(weights, np.int64)[chunk]
+        ends = np.append(np.flatnonzero(~self.inner), len(self.ids))
+        after = ends[np.searchsorted(ends, place)]
         # phrases that start here may have this many words; 0 for words another chunk owns
-        self.room = np.where(place - begins[chunk] < np.minimum(owned, lengths[chunk]), ends[chunk] - place, 0)
-        self.ids, self.lang = ids, lang
+        self.room = np.where(place - begins[chunk] < np.array(owned)[chunk], after - place, 0)
+        self.lang = lang
         seed = xxhash.xxh64_intdigest(lang.encode()) & (2**63 - 1)
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in local), np.uint64, len(local))
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.vocabulary), np.uint64, len(local))
 
     def key(self, at: np.ndarray, size: int) -> np.ndarray:
         """A 64-bit hash of the phrases of ``size`` words at some places."""
@@ -149,10 +164,12 @@ def _blocks(batches):
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray):
-    told, place = np.unique(keys, return_inverse=True)
-    sums = np.zeros(len(told), np.int64)
-    np.add.at(sums, place, weights)
-    return told, sums
+    """Distinct keys, the sums of their weights and a place of each."""
+    order = np.argsort(keys)
+    told = keys[order]
+    first = np.flatnonzero(np.append(True, told[1:] != told[:-1])) if len(told) else np.empty(0, np.int64)
+    sums = np.add.reduceat(weights[order], first) if len(told) else weights
+    return told[first], sums, order[first]
 
 
 # --- filters ----------------------------------------------------------------
@@ -225,7 +242,7 @@ def count_phrases(parsed: DataFrame, least: int, longest: int = LONGEST, bits: i
     def pairs(batches):
         for block in _blocks(batches):
             at = block.at(2)
-            keys, sums = _summed(block.key(at, 2), block.weights[at])
+            keys, sums, _ = _summed(block.key(at, 2), block.weights[at])
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(sums)})
 
     sent_pairs = spark.sparkContext.broadcast(
@@ -238,7 +255,7 @@ def count_phrases(parsed: DataFrame, least: int, longest: int = LONGEST, bits: i
             flags = _pair_flags(block, told, bits)
             for size in range(3, longest + 1):
                 at = _long_places(block, flags, size)
-                keys, sums = _summed(block.key(at, size), block.weights[at])
+                keys, sums, _ = _summed(block.key(at, size), block.weights[at])
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(sums)})
 
     sent_longer = spark.sparkContext.broadcast(
@@ -249,24 +266,20 @@ def count_phrases(parsed: DataFrame, least: int, longest: int = LONGEST, bits: i
         told, far = np.frombuffer(sent_pairs.value, np.uint8), np.frombuffer(sent_longer.value, np.uint8)
         for block in _blocks(batches):
             flags = _pair_flags(block, told, bits)
-            # numbers of the distinct pairs, so that longer phrases are told apart by two numbers
+            # numbers of the distinct frequent pairs, so that longer phrases are told apart by two numbers
+            at = np.flatnonzero(flags)
             number = np.zeros(len(block.ids), np.int64)
-            if len(block.ids) > 1:
-                number[:-1] = np.unique(block.ids[:-1] << 32 | block.ids[1:], return_inverse=True)[1]
+            number[at] = np.unique(block.ids[at] << 32 | block.ids[at + 1], return_inverse=True)[1]
             for size in range(1, longest + 1):
+                at = block.at(1) if size == 1 else _long_places(block, flags, size)
                 if size <= 2:
-                    at = block.at(size)
-                    at = at[flags[at]] if size == 2 else at
                     keys = block.ids[at] if size == 1 else number[at]
                 else:
-                    at = _long_places(block, flags, size)
                     at = at[_passed(far, block.key(at, size), bits)]
                     keys = number[at]
                     for step in range(1, size - 1):  # one more word each
                         keys = np.unique(keys, return_inverse=True)[1] << 32 | number[at + step]
-                found, first, place = np.unique(keys, return_index=True, return_inverse=True)
-                sums = np.zeros(len(found), np.int64)
-                np.add.at(sums, place, block.weights[at])
+                _, sums, first = _summed(keys, block.weights[at])
                 phrases = [b" ".join(block.words[i : i + size]) for i in at[first].tolist()]
                 yield pa.RecordBatch.from_pydict(
                     {"lang": pa.array([block.lang] * len(phrases), pa.string()), "size": pa.array([size] * len(phrases), pa.int32()),
@@ -297,7 +310,7 @@ def collocations(
     """
     parsed = parse(docs, longest, trigger)
     counts = materialize(count_phrases(parsed, least, longest, bits), "phrase-counts")
-    totals = parsed.groupBy("lang").agg(F.sum(F.col("n") * F.col("owned")).alias("n"))
+    totals = counts.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     words = F.split("phrase", " ")
 
     def part(start, n):
