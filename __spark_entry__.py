@@ -23,12 +23,14 @@ from clicktide.sources.tables import (  # noqa: E402
     clickstream_from_orders,
     latest_ms,
 )
-from clicktide.streaming import pipeline, sinks  # noqa: E402
+from clicktide.streaming import daily, exact, fanout, panes, pipeline, sinks  # noqa: E402
 
 try:  # the corpus operators may be left out of an installation
     import corpus_pipeline
     from clicktide.llm import queries as corpus
-except ImportError:
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "clicktide.llm"):
+        raise  # they are there, but broken
     corpus = corpus_pipeline = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -737,6 +739,67 @@ def pipeline_restarted(spark, sf_dir):
     return _plain(raw)
 
 
+def stream_pane_windows(spark, sf_dir):
+    """Sliding windows from panes that a stream keeps by day."""
+    target, checkpoint = scratch.new_path(spark, "panes"), scratch.new_path(spark, "panes-cp")
+    stored = panes.pane_table(spark, target)
+    counted = panes.pane_counts(_event_stream(spark, sf_dir))
+    with state_store_per_core(spark):
+        writer = counted.writeStream.outputMode("update").foreachBatch(stored.sink())
+        _finish(writer.option("checkpointLocation", checkpoint).trigger(**pipeline.ALL_AVAILABLE).start())
+    return _plain(panes.read_windows(stored))
+
+
+def upsert_daily_windows(spark, sf_dir):
+    """Windows upserted by day: transactions counted twice in the second batch, which is replayed, then folded."""
+    clicks = _clicks(spark, sf_dir)
+    sold = clicks.where(F.col("event") == "transaction")
+    target = scratch.new_path(spark, "daily")
+    stored = daily.DailyTable(spark, target, F.col("window_start"), pipeline.WINDOW_KEYS)
+    stored.write(stats.windowed_stats(clicks), 0)
+    for _ in range(2):
+        stored.write(stats.windowed_stats(sold.unionByName(sold)), 1)
+    stored.fold(least=1)
+    return _plain(stored.read())
+
+
+def stream_exact_statistics(spark, sf_dir):
+    """Exact statistics of a stream of purchases, stopped after a part of the orders and started again."""
+    source, target, checkpoint = (scratch.new_path(spark, f"exact-{p}") for p in ("in", "out", "cp"))
+    bought = _purchases(spark, sf_dir).select("transactionid", "visitorid", "event", "itemid")
+    for late in (False, True):
+        part = bought.where((F.col("transactionid") % 3 == 0) == F.lit(late))
+        part.repartition(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(bought.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        with state_store_per_core(spark):
+            _finish(exact.stream_exact_statistics(stream, target, checkpoint, pipeline.ALL_AVAILABLE))
+    return exact.read_exact(spark, target).drop("updated_at")
+
+
+def _fanned_out(spark, sent):
+    source, root, checkpoint = (scratch.new_path(spark, f"fan-{p}") for p in ("in", "out", "cp"))
+    sent.repartition(3).write.text(source)
+    stream = messages.read_stream(spark, "files", path=source, maxFilesPerTrigger=1)
+    _finish(fanout.start_fan_out(stream, root, checkpoint, pipeline.ALL_AVAILABLE))
+    return fanout.ClickTables(spark, root)
+
+
+def fan_out_events(spark, sf_dir):
+    """The raw table of the one-query pipeline."""
+    return _plain(_fanned_out(spark, _messages(spark, sf_dir).select("value")).live.read())
+
+
+def fan_out_totals(spark, sf_dir):
+    """The totals of the one-query pipeline over messages some of which are damaged."""
+    return _fanned_out(spark, _hostile_messages(spark, sf_dir)).read_totals()
+
+
+def stream_health(spark, sf_dir):
+    """What the one-query pipeline took in and refused."""
+    told = _fanned_out(spark, _hostile_messages(spark, sf_dir)).read_health()
+    return told.agg(*[F.sum(c).alias(c) for c in ("messages", "valid", "invalid")])
+
+
 # --- contract ---------------------------------------------------------------
 
 _QUERIES = (
@@ -761,6 +824,7 @@ _QUERIES = (
     approx_distinct_bound, category_distribution_all, failed_message_log, handle_errors,
     parse_hostile_messages, read_events_csv, saved_event_features, recommend_more,
     upsert_incomplete_batch, failed_sink_batches, consume_events, pipeline_restarted,
+    stream_pane_windows, upsert_daily_windows, stream_exact_statistics, fan_out_events, fan_out_totals, stream_health,
 )
 
 

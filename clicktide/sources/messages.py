@@ -68,13 +68,7 @@ def parse_events(df: DataFrame, value_col: str = "value") -> tuple[DataFrame, Da
     malformed text, so a NULL test on the struct alone would let it through.
     Transaction ids stay text.  Every message is in exactly one of the two frames.
     """
-    schema = T.StructType([*S.EVENT_MESSAGE.fields, T.StructField(_CORRUPT, T.StringType())])
-    messages = df.select(F.col(value_col).cast("string").alias("raw_message"))
-    data = F.from_json("raw_message", schema, {"columnNameOfCorruptRecord": _CORRUPT})
-    parsed = add_once(messages, data)
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in S.REQUIRED_EVENT_COLUMNS])
-    dated = F.col("timestamp").between(S.EARLIEST_MS, S.LATEST_MS)
-    good = F.coalesce(present & dated & F.col(_CORRUPT).isNull() & _one_value("raw_message"), F.lit(False))
+    parsed, good = _parsed(df, value_col)
     valid = (
         parsed.where(good)
         .select(*S.EVENT_MESSAGE.names)
@@ -84,6 +78,29 @@ def parse_events(df: DataFrame, value_col: str = "value") -> tuple[DataFrame, Da
     return valid, parsed.where(~good).select("raw_message")
 
 
+def parsed_messages(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """Every message in one frame: ``raw_message, valid``, the fields and ``event_time``.
+
+    For writers that use both kinds of a batch and parse it once; ``valid`` is that of
+    :func:`parse_events`, and the fields of messages that are not are NULL.
+    """
+    parsed, good = _parsed(df, value_col)
+    fields = [F.when(F.col("valid"), F.col(c)).alias(c) for c in S.EVENT_MESSAGE.names]
+    told = parsed.withColumn("valid", good).select("raw_message", "valid", *fields)
+    return told.withColumn("transactionid", transaction_text()).withColumn("event_time", event_time())
+
+
+def _parsed(df, value_col):
+    schema = T.StructType([*S.EVENT_MESSAGE.fields, T.StructField(_CORRUPT, T.StringType())])
+    messages = df.select(F.col(value_col).cast("string").alias("raw_message"))
+    data = F.from_json("raw_message", schema, {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = add_once(messages, data)
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in S.REQUIRED_EVENT_COLUMNS])
+    dated = F.col("timestamp").between(S.EARLIEST_MS, S.LATEST_MS)
+    good = F.coalesce(present & dated & F.col(_CORRUPT).isNull() & _one_value("raw_message"), F.lit(False))
+    return parsed, good
+
+
 def _one_value(text: str):
     """Whether a text is one JSON value with nothing after it.
 

@@ -5,6 +5,7 @@ that folder when the batch is replayed, so a restart repeats nothing.  A target
 belongs to one checkpoint: start over with both or with neither.
 """
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from clicktide.operators.errors import error_alerts, error_events
 from clicktide.plans.scratch import exists
 from clicktide.sources.messages import as_json, failed_batch
 
+_log = logging.getLogger(__name__)
+
 BatchWriter = Callable[[DataFrame, int], None]
 
 
@@ -83,15 +86,22 @@ def upsert_batches(
         changes = batch.withColumn(stamp, F.current_timestamp())
         changes.write.mode("overwrite").parquet(f"{target}/changes/batch_id={batch_id}")
         if keys and (batch_id + 1) % compact_every == 0:
-            spark = batch.sparkSession
-            before = _newest(spark, f"{target}/snapshots/upto=*")
-            compact_upserts(spark, target, keys)
-            if before is not None:
-                _drop_until(spark, target, before)
+            _fold(batch.sparkSession, target, keys)
 
     return write
 
 
+def _fold(spark, target, keys):
+    """The batch is in the table already: a fold that fails is not its failure, and the next one makes up for it."""
+    try:
+        before = _newest(spark, f"{target}/snapshots/upto=*")
+        compact_upserts(spark, target, keys)
+        if before is not None:
+            _drop_until(spark, target, before)
+    except Exception:
+        _log.warning("the changes of %s could not be folded; they are read as they are", target, exc_info=True)
+
+
 def read_upserts(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """The current row of every key, from complete batches only."""
     folded = _newest(spark, f"{target}/snapshots/upto=*")

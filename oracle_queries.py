@@ -596,6 +596,24 @@ def all_queries() -> dict[str, str]:
         "handle_errors": named["error_alerts"],
         "saved_event_features": named["event_features"],
         "pipeline_restarted": named["stream_raw_events"],
+        "fan_out_events": named["stream_raw_events"],
+        "stream_pane_windows": named["stream_windowed_stats"],
+        "upsert_daily_windows": named["upsert_windowed_stats"],
+        "stream_exact_statistics": _with(
+            BUYS,
+            """SELECT event, count(*) AS total_count, count(DISTINCT visitorid) AS unique_visitors,
+                      count(DISTINCT itemid) AS unique_items FROM cs GROUP BY event""",
+        ),
+        "fan_out_totals": _with(
+            CS, HOSTILE,
+            """SELECT event, count(*) AS total_count, count(DISTINCT visitorid) AS unique_visitors,
+                      count(DISTINCT itemid) AS unique_items FROM hostile WHERE outcome = 'valid' GROUP BY event""",
+        ),
+        "stream_health": _with(
+            CS, HOSTILE,
+            """SELECT count(*) AS messages, count_if(outcome = 'valid')::BIGINT AS valid,
+                      count_if(outcome = 'invalid')::BIGINT AS invalid FROM hostile""",
+        ),
         "upsert_incomplete_batch": named["upsert_event_statistics"],
         "recommend_more": _with(CS, _recommended(n=15), "SELECT * FROM offered"),
         "approx_distinct_bound": _with(
