@@ -1,5 +1,10 @@
 """A bounded cache for values that are worked out again and again in a worker."""
 
+import ctypes
+import gc
+
+import pyarrow as pa
+
 LONGEST_KEPT = 64
 
 _holder: list = [None, ()]
@@ -14,9 +19,20 @@ def hold(owner, *caches: "Cache") -> None:
         for cache in _holder[1]:
             cache.clear()
             cache.old = {}
+        if _holder[0] is not None:
+            give_back()
         _holder[:] = [owner, caches]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker's next operator has room for its own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 class Cache(dict):
     """Computes what is missing and keeps it for keys of up to 64 characters.
 

@@ -73,10 +73,23 @@ def _slices(batch, rows=1024):
         yield batch.slice(at, rows)
 
 
+COUNTED_AT_ONCE = 1 << 21  # shingles whose repeats are counted at a time (16 MB)
+
+
 def _sizes(batches, width):
-    """A row per document, and one per shingle that several documents of a batch hold."""
+    """A row per document, and one per shingle that several documents of a stretch of rows hold."""
+
+    def repeats():
+        values, times = np.unique(np.concatenate(held), return_counts=True)
+        values, times = values[times > 1].view(np.int64), times[times > 1]
+        empty = pa.nulls(len(values), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [empty, empty, pa.nulls(len(values), pa.binary()), pa.array(values), pa.array(times.astype(np.int64))],
+            schema=_SIZES,
+        )
+
+    held, size = [], 0
     for batch in batches:
-        repeated = []
         for part in _slices(batch):
             sets = sh.shingle_sets(part.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
@@ -85,15 +98,13 @@ def _sizes(batches, width):
                  pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())],
                 schema=_SIZES,
             )
-            repeated += [s for s in sets if len(s)]
-        if repeated:
-            values, times = np.unique(np.concatenate(repeated), return_counts=True)
-            values, times = values[times > 1].view(np.int64), times[times > 1]
-            empty = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [empty, empty, pa.nulls(len(values), pa.binary()), pa.array(values), pa.array(times.astype(np.int64))],
-                schema=_SIZES,
-            )
+            held += [s for s in sets if len(s)]
+            size += sum(map(len, sets))
+            if size > COUNTED_AT_ONCE:
+                yield repeats()
+                held, size = [], 0
+    if held:
+        yield repeats()
 
 
 _KEYS = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64())), ("counts", pa.binary())])
