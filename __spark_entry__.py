@@ -21,7 +21,7 @@ from clicktide.sources import files, messages  # noqa: E402
 from clicktide.sources.tables import (  # noqa: E402
     clickstream_from_events,
     clickstream_from_orders,
-    latest_ms,
+    newest_in_files,
 )
 from clicktide.streaming import daily, exact, fanout, panes, pipeline, sinks  # noqa: E402
 
@@ -53,9 +53,13 @@ def _purchases(spark, sf_dir):
     )
 
 
+def _newest_ms(spark, sf_dir):
+    return newest_in_files(configure(spark), f"{sf_dir}/events.parquet", "ts")
+
+
 def _recent(spark, sf_dir, lookback_ms):
     """Clicks not older than the lookback, and the newest event time."""
-    as_of = latest_ms(_clicks(spark, sf_dir))
+    as_of = _newest_ms(spark, sf_dir)
     return _clicks(spark, sf_dir, as_of - lookback_ms), as_of
 
 
@@ -200,7 +204,7 @@ def pipeline_health(spark, sf_dir):
     clicks = _clicks(spark, sf_dir)
     return _plain(
         stats.pipeline_health(
-            clicks, stats.windowed_stats(clicks), stats.event_statistics(clicks), latest_ms(clicks)
+            clicks, stats.windowed_stats(clicks), stats.event_statistics(clicks), _newest_ms(spark, sf_dir)
         )
     )
 

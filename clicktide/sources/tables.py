@@ -1,11 +1,19 @@
 """Click tables from stored event tables."""
 
-from datetime import datetime, timezone
+import re
+from datetime import datetime, timedelta, timezone
+from functools import partial
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
 def clickstream_from_events(events: DataFrame, since_ms: int | None = None) -> DataFrame:
     """Map (event_id, ts, user_id, event_type, props) to the click table.
 
@@ -50,6 +58,73 @@ def latest_ms(clicks: DataFrame) -> int:
     return clicks.agg(F.max("timestamp")).first()[0]
 
 
+def newest_in_files(spark: SparkSession, path: str, column: str) -> int | None:
+    """The largest value of a column of a Parquet table, from the statistics in its footers.
+
+    For whole numbers and timestamps (then epoch milliseconds, rounded down).  Tasks read the footers; no
+    data page is opened but of files that have no statistics of the column.  None for a
+    table without values.
+    """
+    table = spark.read.parquet(path)
+    files = spark.createDataFrame([(f,) for f in table.inputFiles()], "path string")
+    tasks = max(1, min(files.count() // FOOTERS_PER_TASK, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    told = files.repartition(tasks).mapInArrow(partial(_footers, column=column), "path string, known boolean, newest long")
+    kinds = told.groupBy("known").agg(F.max("newest").alias("newest"), F.collect_list(F.when(~F.col("known"), F.col("path"))).alias("paths"))
+    found = []
+    for row in kinds.collect():  # two rows at most
+        if row["known"]:
+            found.append(row["newest"])
+        else:
+            found.append(_scanned(spark.read.schema(table.schema).parquet(*row["paths"]), column))
+    return max((n for n in found if n is not None), default=None)
+
+
+FOOTERS_PER_TASK = 64
+
+
+def _scanned(table, column):
+    value = F.col(column)
+    if table.schema[column].dataType.typeName().startswith("timestamp"):
+        value = F.unix_millis(value.cast("timestamp"))
+    return table.agg(F.max(value)).first()[0]
+
+
+def _footers(batches, column):
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            known, newest = _newest_of_file(path, column)
+            yield pa.RecordBatch.from_pydict(
+                {"path": [path], "known": [known], "newest": pa.array([newest], pa.int64())}
+            )
+
+
+def _newest_of_file(path, column):
+    """(whether the footer tells, the largest value)."""
+    try:
+        system, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    except pa.ArrowInvalid:
+        return False, None  # a file system only Spark knows
+    with system.open_input_file(place) as source:
+        footer = pq.ParquetFile(source).metadata
+    at = footer.schema.to_arrow_schema().get_field_index(column)
+    newest = None
+    for group in range(footer.num_row_groups):
+        stats = footer.row_group(group).column(at).statistics
+        values = footer.row_group(group).num_rows - (stats.null_count if stats and stats.has_null_count else 0)
+        if not values:
+            continue
+        if stats is None or not stats.has_min_max:
+            return False, None
+        largest = stats.max
+        if isinstance(largest, datetime):
+            # the statistics of zoneless times are UTC, as the session is
+            largest = (largest.replace(tzinfo=timezone.utc) - _EPOCH) // timedelta(milliseconds=1)
+        elif not isinstance(largest, int):
+            return False, None
+        newest = largest if newest is None else max(newest, largest)
+    return True, newest
+
+
 def read_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
     """A SQL query on a relational database, as a frame.
 
