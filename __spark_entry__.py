@@ -568,6 +568,23 @@ def recommend_more(spark, sf_dir):
     return recommend.recommend(recommend.load(spark, path), n=15)
 
 
+def _refitted(clicks, days):
+    """A model of all clicks but those of the last days, refitted with these."""
+    newest = clicks.agg(F.max("timestamp")).first()[0]
+    fresh = F.col("timestamp") > (newest or 0) - days * 86_400_000
+    return recommend.refit(recommend.fit(clicks.where(~fresh)), clicks.where(fresh))
+
+
+def refit_neighbours(spark, sf_dir):
+    """Neighbours from a model that got the newest day later than the others."""
+    return _refitted(_clicks(spark, sf_dir), 1).neighbours
+
+
+def refit_recommend_buyers(spark, sf_dir):
+    """Recommendations after the orders of the newest week were added to a model."""
+    return recommend.recommend(_refitted(_purchases(spark, sf_dir), 7))
+
+
 def recommend_untrained(spark, sf_dir):
     """Customers before any model exists."""
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("visitorid"))
@@ -822,7 +839,7 @@ _QUERIES = (
     item_sequences_by_range,
     user_item_ratings, item_similarity, item_similarity_blocked, item_neighbours,
     purchase_item_neighbours, recommend_users, recommend_buyers, recommend_cold_users,
-    recommend_untrained, hit_rate,
+    recommend_untrained, hit_rate, refit_neighbours, refit_recommend_buyers,
     stream_raw_events, dead_letter_events, stream_windowed_stats, stream_event_statistics,
     stream_late_data, upsert_windowed_stats, upsert_event_statistics,
     approx_distinct_bound, category_distribution_all, failed_message_log, handle_errors,

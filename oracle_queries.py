@@ -615,6 +615,8 @@ def all_queries() -> dict[str, str]:
                       count_if(outcome = 'invalid')::BIGINT AS invalid FROM hostile""",
         ),
         "upsert_incomplete_batch": named["upsert_event_statistics"],
+        "refit_neighbours": named["item_neighbours"],
+        "refit_recommend_buyers": named["recommend_buyers"],
         "recommend_more": _with(CS, _recommended(n=15), "SELECT * FROM offered"),
         "approx_distinct_bound": _with(
             BUYS,
