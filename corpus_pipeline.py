@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 from clicktide.llm import jaccard_join, line_dedup, packing, queries, surrogates, toxicity
 from clicktide.llm.common import by_ids, materialize, table, with_new_text
 
+BATCH_BYTES = 4 << 20  # texts go to Python workers in batches of this size, or of one row
+
+
+def small_batches(spark):
+    """Cut Arrow batches by bytes, from now on in this session.
+
+    The default cuts at 10 000 rows or 64 MB.  An executor holds a batch per task
+    twice, and also what earlier stages left in its heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def drop_toxic(spark, docs, sf_dir):
     """Without documents of a toxicity score of 0.3 or more."""
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, threshold=0.3, whole_rows=True)
     return scored.where("predicted = 0").select("row.*")
@@ -38,6 +50,7 @@ def keep_one_of_each(spark, docs, sf_dir):
     Every row is a document of its own, also without an id or with one that other
     rows have; among rows of one id the smallest hash of the text stays.
     """
+    small_batches(spark)
     shared = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
     own = shared.isEmpty()
     rows = docs if own else _numbered_rows(docs)
@@ -55,6 +68,7 @@ def replace_personal_data(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     """Pieces of packed sequences of 2048 tokens, with their ids."""
+    small_batches(spark)
     return packing.pack_documents(docs, queries.WORD_TOKENIZER, end_id=1, window=2048)
 
 
