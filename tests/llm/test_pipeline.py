@@ -123,4 +123,4 @@ def test_one_row_of_each_stays_without_ids_and_with_shared_ids(spark, docs):
 def test_run_is_registered():
     entry = importlib.import_module("__spark_entry__")
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
