@@ -59,6 +59,14 @@ def test_semi_join_equals_left_semi(spark):
     assert got == rows(big.join(keys, "k", "left_semi").select("id", "k"), "id")
 
 
+def test_semi_join_broadcasts_no_copies_of_the_keys(spark):
+    """The stored keys are small enough to be broadcast, what they unfold to is 16 times as many."""
+    big = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
+    keys = materialize(spark.range(500).select(F.col("id").alias("k")), "keys")
+    text = plan(semi_join(big, keys, "k", spread_by=["id"]))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 @pytest.mark.parametrize("keys", [[], ["visitorid"]])
 def test_positions_by_range_equal_row_numbers(spark, keys):
     data = clicks(spark, random_clicks(random.Random(3), 800, 20, 30, hot=4))
