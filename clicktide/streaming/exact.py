@@ -14,21 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clicktide.streaming.sinks import _complete
+from clicktide.streaming.sinks import BatchWriter, _complete
 
 _KEPT = 3
 ROWS, VISITOR, ITEM = "rows", "visitor", "item"
 
 
-def first_seen(events: DataFrame) -> DataFrame:
-    """``event, kind, who, first, last, n`` of every pair (and, as kind ``rows``, every event) a batch touches."""
+def sides(events: DataFrame, *more) -> DataFrame:
+    """``event, s.kind, s.who``: every event as a row, as its visitor and as its item, if it has them."""
     def side(kind, who):
         return F.struct(F.lit(kind).alias("kind"), who.cast("long").alias("who"))
 
-    sides = F.array(side(ROWS, F.lit(None)), side(VISITOR, F.col("visitorid")), side(ITEM, F.col("itemid")))
+    each = F.array(side(ROWS, F.lit(None)), side(VISITOR, F.col("visitorid")), side(ITEM, F.col("itemid")))
+    return events.select("event", *more, F.explode(each).alias("s")).where("s.kind = 'rows' OR s.who IS NOT NULL")
+
+
+def first_seen(events: DataFrame) -> DataFrame:
+    """``event, kind, who, first, last, n`` of every pair (and, as kind ``rows``, every event) a batch touches."""
     return (
-        events.select("event", F.current_timestamp().alias("at"), F.explode(sides).alias("s"))
-        .where("s.kind = 'rows' OR s.who IS NOT NULL")
+        sides(events, F.current_timestamp().alias("at"))
         .groupBy("event", "s.kind", "s.who")
         .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
     )
@@ -39,8 +43,11 @@ def _newest(spark, target, below):
     return max(found, default=None)
 
 
-def add_batch(target: str):
-    """A writer that keeps the totals after each batch; a replayed batch starts from the totals before it again."""
+def add_batch(target: str, then: BatchWriter | None = None):
+    """A writer that keeps the totals after each batch; a replayed batch starts from the totals before it again.
+
+    ``then`` gets the totals of all events after each batch.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -63,6 +70,8 @@ def add_batch(target: str):
         for number, folder in _complete(spark, f"{target}/batch_id=*"):
             if number <= batch_id - _KEPT:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if then:
+            then(spark.read.schema(totals.schema).parquet(f"{target}/batch_id={batch_id}").drop("updated_at"), batch_id)
 
     return write
 

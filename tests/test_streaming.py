@@ -73,6 +73,22 @@ def test_restart_resumes(spark, tmp_path):
     assert totals.agg(F.sum("total_count")).first()[0] == 100
 
 
+def test_totals_are_exact_for_many_visitors(spark, tmp_path):
+    """More visitors than a sketch counts exactly, most of them in both batches."""
+    made = spark.range(12_000).select(
+        "id", (F.lit(BASE) + F.col("id")).alias("timestamp"), (F.col("id") % 6007).alias("visitorid"),
+        F.lit("view").alias("event"), (F.col("id") % 5003).alias("itemid"), F.lit(None).cast("long").alias("transactionid"),
+    )
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (made.where("id < 6500"), made.where("id >= 6500")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(made.schema).parquet(source)
+        write = sinks.upsert_batches(target, "updated_at")
+        pipeline.stream_event_statistics(stream, write, str(tmp_path / "cp"), ALL).awaitTermination()
+    totals = sinks.read_upserts(spark, target, pipeline.TOTAL_KEYS).drop("updated_at")
+    assert rows(totals) == [("view", 12_000, 6007, 5003)]
+
+
 def test_rate_limit(spark, tmp_path):
     source = str(tmp_path / "in")
     for i in range(3):
