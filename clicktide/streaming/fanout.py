@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clicktide import schema as S
-from clicktide.operators.stats import SKETCH_LG
 from clicktide.sources.messages import as_json, dead_letter, parsed_messages
+from clicktide.streaming import exact
 from clicktide.streaming import panes as P
 from clicktide.streaming.daily import DailyTable
-from clicktide.streaming.pipeline import RAW_COLUMNS, TOTAL_KEYS, failure_store
+from clicktide.streaming.pipeline import RAW_COLUMNS, failure_store
 from clicktide.streaming.sinks import BatchWriter, append_batches, guarded
 
 LATE_MS = 600_000 + S.WINDOW_SIZE_MS - S.WINDOW_SLIDE_MS
@@ -82,12 +82,11 @@ def fan_out(
 # --- the tables -------------------------------------------------------------
 
 
-def _merged_totals(_columns=None):
-    return [
-        F.sum("total_count").alias("total_count"),
-        F.theta_union_agg("visitors", SKETCH_LG).alias("visitors"),
-        F.theta_union_agg("items", SKETCH_LG).alias("items"),
-    ]
+PAIR_KEYS = ["event", "kind", "who"]
+
+
+def _added_up(_columns=None):
+    return [F.sum("n").alias("n")]
 
 
 class ClickTables:
@@ -97,8 +96,8 @@ class ClickTables:
         self.spark, self.root = spark, root
         self.live = DailyTable(spark, f"{root}/live_clickstream_events", F.col("event_date"), fold_after=fold_after)
         self.panes = P.pane_table(spark, f"{root}/panes", additive=True, fold_after=fold_after)
-        one_day = F.lit("1970-01-01")  # a row per event: one day holds them all
-        self.totals = DailyTable(spark, f"{root}/event_statistics", one_day, TOTAL_KEYS, _merged_totals, fold_after)
+        one_day = F.lit("1970-01-01")  # a row per event and its visitor or item, of whatever day
+        self.totals = DailyTable(spark, f"{root}/event_statistics", one_day, PAIR_KEYS, _added_up, fold_after)
         self.health = DailyTable(spark, f"{root}/health", F.col("at"), ["batch_id"], fold_after=fold_after)
 
     def fold(self) -> None:
@@ -137,14 +136,8 @@ class ClickTables:
         self.panes.write(kept, batch_id, {"newest_ms": max(known)} if known else {})
 
     def write_totals(self, parsed: DataFrame, batch_id: int) -> None:
-        self.totals.write(
-            parsed.where("valid").groupBy("event").agg(
-                F.count(F.lit(1)).alias("total_count"),
-                F.theta_sketch_agg("visitorid", SKETCH_LG).alias("visitors"),
-                F.theta_sketch_agg("itemid", SKETCH_LG).alias("items"),
-            ),
-            batch_id,
-        )
+        pairs = exact.sides(parsed.where("valid")).groupBy("event", "s.kind", "s.who")
+        self.totals.write(pairs.agg(F.count(F.lit(1)).alias("n")), batch_id)
 
     # -- readers ---------------------------------------------------------------
 
@@ -152,9 +145,11 @@ class ClickTables:
         return P.read_windows(self.panes, first, last)
 
     def read_totals(self) -> DataFrame:
-        estimate = {c: F.theta_sketch_estimate(c) for c in ("visitors", "items")}
-        return self.totals.read().select(
-            "event", "total_count", estimate["visitors"].alias("unique_visitors"), estimate["items"].alias("unique_items")
+        kind = F.col("kind")
+        return self.totals.read().groupBy("event").agg(
+            F.sum(F.when(kind == exact.ROWS, F.col("n"))).alias("total_count"),
+            F.count_if(kind == exact.VISITOR).alias("unique_visitors"),
+            F.count_if(kind == exact.ITEM).alias("unique_items"),
         )
 
     def read_health(self) -> DataFrame:

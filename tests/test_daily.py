@@ -178,6 +178,20 @@ def test_fan_out_equals_batch_and_counts_what_it_drops(spark, tmp_path):
     assert rows(tables.read_windows().select(columns), "window_start", "event") == rows(want, "window_start", "event")
 
 
+def test_totals_of_the_fan_out_are_exact(spark, tmp_path):
+    """More visitors than a sketch counts exactly, most of them in both batches, before and after a fold."""
+    made = spark.range(12_000).select(
+        F.lit("view").alias("event"), (F.col("id") % 6007).alias("visitorid"), (F.col("id") % 5003).alias("itemid"),
+        F.lit(True).alias("valid"), "id",
+    )
+    tables = fanout.ClickTables(spark, str(tmp_path / "out"), fold_after=1)
+    for batch, part in enumerate((made.where("id < 6500"), made.where("id >= 6500"))):
+        tables.write_totals(part, batch)
+    assert rows(tables.read_totals()) == [("view", 12_000, 6007, 5003)]
+    tables.totals.fold()
+    assert rows(tables.read_totals()) == [("view", 12_000, 6007, 5003)]
+
+
 def test_a_restart_between_two_sinks_repeats_neither(spark, tmp_path):
     source, calls, broken = str(tmp_path / "in"), [], [True]
     write_messages(clicks(spark, [(1, "view", 1), (2, "view", 2)]), source)
