@@ -140,7 +140,27 @@ def publish(
     return counts["all"] - counts["failed"], counts["failed"]
 
 
+def _trace(failure, stacks):
+    """The text of ``traceback.format_exc``, with the part on the stack made once for each place of failure."""
+    if failure.__cause__ or failure.__context__ or isinstance(failure, ExceptionGroup):
+        return "".join(traceback.format_exception(failure))
+    place, tb = [], failure.__traceback__
+    while tb is not None:
+        place.append((tb.tb_frame.f_code, tb.tb_lasti, tb.tb_lineno))
+        tb = tb.tb_next
+    place = tuple(place)
+    if place not in stacks:
+        if len(stacks) >= MOST_STACKS:
+            stacks.clear()
+        stacks[place] = "Traceback (most recent call last):\n" + "".join(traceback.format_tb(failure.__traceback__))
+    return stacks[place] + "".join(traceback.format_exception_only(failure))
+
+
+MOST_STACKS = 1000
+
+
 def _deliver(batches, deliver):
+    stacks = {}
     for batch in batches:
         errors = ([], [], [])
         for key, value in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist()):
@@ -148,7 +168,7 @@ def _deliver(batches, deliver):
             try:
                 deliver(key, value)
             except Exception as failure:  # whatever the sink raises is logged with the message
-                told = (type(failure).__name__, str(failure), traceback.format_exc())
+                told = (type(failure).__name__, str(failure), _trace(failure, stacks))
             for column, text in zip(errors, told):
                 column.append(text)
         columns = [batch.column("key"), batch.column("value"), *(pa.array(c, pa.string()) for c in errors)]

@@ -201,3 +201,43 @@ def test_windows_do_not_depend_on_the_blocks(spark):
     for size in (1, 7, 64):
         got = stats._windows_exact(data, 5, 60_000, size).select("start", "event", "event_count", "unique_users", "unique_items")
         assert rows(got, "start") == want
+
+
+def test_traces_are_those_of_python_and_made_once_per_place(monkeypatch):
+    import traceback
+
+    import pyarrow as pa
+
+    made = []
+
+    def deliver(key, value):
+        if key == "1":
+            raise TimeoutError(f"no answer for {value}")
+        if key == "2":
+            int(value)
+        if key == "3":
+            try:
+                {}[value]
+            except KeyError as missing:
+                raise ConnectionError("two at once") from missing
+
+    keys = ["0", "1", "2", "3", "1", "2"] * 20
+    batch = pa.RecordBatch.from_pydict({"key": keys, "value": [f"v{i}" for i in range(len(keys))]})
+    told = next(errors._deliver([batch], deliver)).to_pydict()
+    for key, value, trace in zip(keys, told["value"], told["trace"]):
+        try:
+            deliver(key, value)
+        except Exception:
+            ours = traceback.format_exc().split("in deliver\n", 1)[1]  # the callers differ
+            if key == "3":
+                assert "KeyError" in trace and trace.endswith("ConnectionError: two at once\n")
+            else:
+                assert trace.split("in deliver\n", 1)[1] == ours
+                assert trace.startswith("Traceback (most recent call last):\n")
+        else:
+            assert trace is None
+    whole = traceback.format_tb
+    monkeypatch.setattr(errors.traceback, "format_tb", lambda tb: made.append(tb) or whole(tb))
+    monkeypatch.setattr(errors.traceback, "format_exc", lambda: pytest.fail("formatted whole"))
+    next(errors._deliver([batch], deliver))
+    assert len(made) == 2  # two places without a cause
