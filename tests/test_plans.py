@@ -167,6 +167,14 @@ def test_no_cross_join(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_stream_sources_are_dealt_over_all_tasks(spark):
+    """No task gets more of a source as its batches are few."""
+    files, at_once = entry._dealt_out(spark.range(1000), 2)
+    sizes = files.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 200
+    assert at_once == 4  # two batches
+
+
 def test_scopes_delete_their_own_tables(spark):
     kept = materialize(spark.range(3), "kept")
     with scratch.scope(spark):
