@@ -23,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktide.llm import shingles as sh
@@ -399,9 +399,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         ),
         "prefixes",
     )
-    single = prefixes.join(equal.select("doc_id", "sig"), ["doc_id", "sig"], "left_semi")
-    in_group = single.select("doc_id", F.explode("prefix").alias("shingle"))
-    pairs = materialize(_pivot_pairs(in_group), "pivot-pairs")
+    in_group = prefixes.select("doc_id", F.explode("prefix").alias("shingle"))
+    # equal sets have equal prefixes, so a pivot is the smallest of its set; other copies go here,
+    # where a row has two ids, and not where it has a list
+    met = _pivot_pairs(in_group).select("p", F.col("x").alias("doc_id"))
+    met = materialize(met, "met-pivots")
+    pairs = materialize(
+        by_ids(met, equal.select("doc_id"), "left_semi").select("p", F.col("doc_id").alias("x")), "pivot-pairs"
+    )
 
     crowd = materialize(pairs.select(F.col("p").alias("doc_id")).union(pairs.select("x")).distinct(), "crowd")
     data = materialize(  # the first eight bytes of a signature are the size
@@ -435,11 +440,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 def _pivot_pairs(in_group: DataFrame) -> DataFrame:
     """``(p, x)``: each document with the smallest one of every group it is in."""
-    groups = in_group.groupBy("shingle").agg(
-        F.min("doc_id").alias("p"), (F.min("doc_id") < F.max("doc_id")).alias("several")
-    )
-    groups = groups.where("several").select("shingle", "p")
-    return in_group.join(groups, "shingle").where("doc_id <> p").select("p", F.col("doc_id").alias("x")).distinct()
+    # in order of the ids the first of a group is the smallest; the rows are sent once and met by no other table
+    first = Window.partitionBy("shingle").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = in_group.select(F.first("doc_id").over(first).alias("p"), F.col("doc_id").alias("x"))
+    return pairs.where("x <> p").distinct()
 
 
 def _links(links: DataFrame, equal: DataFrame, known: DataFrame) -> DataFrame:

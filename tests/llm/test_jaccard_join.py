@@ -124,6 +124,22 @@ def test_large_group_of_near_copies_links_in_a_star(spark, docs):
     assert {r[2] for r in got} == {0}
 
 
+def test_pivots_take_one_shuffle_of_the_shingles(spark):
+    rows = [(3, 10), (1, 10), (2, 10), (2, 11), (5, 11), (9, 12), (7, 13), (7, 13), (2, 14), (5, 14)]
+    pairs = jaccard_join._pivot_pairs(spark.createDataFrame(rows, "doc_id long, shingle long"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(shingle") == 1
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (2, 5)]
+
+
+def test_copies_with_ids_that_have_other_sets(spark, docs):
+    rng = random.Random(5)
+    a, b, c = ([f"{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "abc")
+    near = [*a[:-1], "other"]
+    rows = [(i, " ".join(w)) for i, w in [(4, a), (6, a), (6, b), (2, b), (9, near), (8, near), (7, c), (8, c)]]
+    assert joined(docs(rows)) == brute(rows)
+
+
 def test_empty_table(spark, docs):
     assert joined(docs([])) == []
     assert joined(docs([(1, ""), (2, "")])) == [(1, 0, 1), (2, 0, 2)]
