@@ -6,9 +6,9 @@ linked documents share one of their first few shingles in a common order (rare
 ones first).  Each shingle's documents form a group, its smallest document is the
 pivot, and the groups of a pivot make up its region.
 
-1. Every document of a region is compared with the pivot, first by counts in hash
-   classes, which bound the distance from below, then exactly.  Copies of a text
-   thus link in a star, not in all pairs.
+1. Every document of a region is compared with the pivot, first by size, then by
+   counts in hash classes, which bound the distance from below, then exactly.
+   Copies of a text thus link in a star, not in all pairs.
 2. Regions that are not connected by that are joined within, in blocks.  By the
    triangle inequality a document further than twice the threshold from the pivot
    cannot be near the documents within the threshold of it, so only a window of
@@ -16,7 +16,8 @@ pivot, and the groups of a pivot make up its region.
    Voronoi regions with such windows, again and again, until they are small.
    Pairs that are connected already are skipped; the others are verified exactly.
 
-Sets themselves travel only for pairs that the counts leave over.
+Counts travel only for documents that sizes leave over, sets only for pairs that the
+counts leave over.
 """
 
 from functools import partial
@@ -35,6 +36,8 @@ from clicktide.plans.skew import lookup_join
 FREQUENT = 1 << 18  # shingles told to be frequent; only the order of the others is less good
 BLOCK = 512
 SMALL = 48  # documents that are compared one by one
+STAR = 64  # pairs of a pivot that its data is sent to at once
+SORTED = 4096  # documents of a region that are put in order of size, at most
 
 
 class Threshold:
@@ -144,11 +147,10 @@ def _sets(batches, width):
 def _star(pairs: DataFrame, data: DataFrame, compare, schema: str) -> DataFrame:
     """``compare(pivot's data, x's data)`` for every pair ``(p, x)``.
 
-    A pivot's data is sent once to each block of its pairs, whose number follows
-    the number of shuffle partitions, so a pivot of very many pairs is shared out.
+    A pivot's data is sent once to each block of its pairs.
     """
     n = shuffle_partitions(pairs.sparkSession)
-    blocks = pairs.select("p", "x", F.pmod(F.xxhash64("x"), F.lit(n)).alias("block"))
+    blocks = _dealt(pairs, n)
     of = data.select(F.col("doc_id").alias("_id"), "data")
     each = blocks.join(of, F.col("x") == F.col("_id")).select("p", "block", F.lit(1).alias("turn"), "x", "data")
     heads = (
@@ -159,6 +161,27 @@ def _star(pairs: DataFrame, data: DataFrame, compare, schema: str) -> DataFrame:
     return dealt.mapInArrow(partial(_compare_star, compare=compare), schema)
 
 
+def _dealt(pairs: DataFrame, n: int) -> DataFrame:
+    """``(p, x, block)``: one block for about ``STAR`` pairs of a pivot, ``n`` at most, so that many pairs are shared out."""
+    many = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("_pairs")).where(F.col("_pairs") > STAR)
+    blocks = F.least(F.lit(n), F.ceil(F.coalesce("_pairs", F.lit(1)) / STAR))
+    counted = lookup_join(pairs, many, "p", "_pairs", ["x"])
+    return counted.select("p", "x", F.pmod(F.xxhash64("x"), blocks).alias("block"))
+
+
+def _with_far(pairs: DataFrame, of: DataFrame, threshold: Threshold) -> DataFrame:
+    """``(p, x, far)``: whether sizes alone tell that they are beyond twice the threshold.  ``of`` has the sizes of each id."""
+    of = of.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))  # rows that share an id have several
+
+    def ends(side):
+        return of.select(F.col("doc_id").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}"))
+
+    # the sizes that come nearest to each other, unless some are equal or between
+    more, less = F.greatest("low_p", "low_x"), F.least("high_p", "high_x")
+    far = (more > less) & threshold.beyond(more - less, more + less)
+    return pairs.join(ends("p"), "p").join(ends("x"), "x").select("p", "x", far.alias("far"))
+
+
 def _compare_star(batches, compare):
     key, heads = None, []
     for batch in batches:
@@ -304,7 +327,22 @@ def _join_blocks(batches, threshold):
         yield done()
 
 
-def _open_pairs(told: DataFrame, links: DataFrame, comps: DataFrame, data: DataFrame, threshold) -> DataFrame:
+def _met_by_size(dealt: DataFrame, of: DataFrame, threshold: Threshold) -> DataFrame:
+    """Rows of regions without those that nothing else in their region is near enough to in size.
+
+    Regions of more than ``SORTED`` rows are left as they are: they would be sorted in one task.
+    """
+    small = dealt.where(F.col("rows") <= SORTED)
+    sized = small.select("p", "x").join(of.select(F.col("doc_id").alias("x"), "n").distinct(), "x")
+    order = Window.partitionBy("p").orderBy("n", "x")
+    near = (F.lag("n").over(order) * threshold.den >= F.col("n") * threshold.num) | (
+        F.col("n") * threshold.den >= F.lead("n").over(order) * threshold.num
+    )
+    kept = sized.select("p", "x", near.alias("near")).where("near").select("p", "x").distinct()
+    return small.join(kept, ["p", "x"], "left_semi").unionByName(dealt.where(F.col("rows") > SORTED))
+
+
+def _open_pairs(told: DataFrame, links: DataFrame, comps: DataFrame, data: DataFrame, of: DataFrame, threshold) -> DataFrame:
     """Pairs within regions that are not connected yet and that the counts leave possible."""
     node = comps.select(F.col("node").alias("_node"), "component")
     linked = links.withColumn("inside", F.lit(True))
@@ -325,12 +363,14 @@ def _open_pairs(told: DataFrame, links: DataFrame, comps: DataFrame, data: DataF
     )
     regions = materialize(
         regions.where("open AND outside > 0").select(
-            "p", "rows", F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks"),
+            "p", "rows", "outside", F.ceil(F.col("outside") / BLOCK).cast("int").alias("blocks"),
             F.when(F.col("boundary"), F.ceil(F.col("within") / BLOCK)).otherwise(0).cast("int").alias("inner"),
-        ),
+        ).where("outside > 1 OR inner > 0").drop("outside"),
         "open-regions",
     )
-    dealt = lookup_join(rows, regions, "p", "rows", ["x"]).where("blocks IS NOT NULL")
+    # those inside meet nobody but the boundary
+    dealt = lookup_join(rows, regions, "p", "rows", ["x"]).where("blocks IS NOT NULL AND (inner > 0 OR NOT inside)")
+    dealt = materialize(_met_by_size(dealt, of, threshold), "open-rows")
     anywhere = F.xxhash64("x")
     own = F.pmod(anywhere, F.greatest("blocks", F.lit(1))).cast("int")
     inner = F.pmod(anywhere, F.greatest("inner", F.lit(1))).cast("int")
@@ -352,8 +392,9 @@ def _open_pairs(told: DataFrame, links: DataFrame, comps: DataFrame, data: DataF
         "p", "x", "comp", F.when(F.col("inside"), -1 - inner).otherwise(own).alias("block"),
         F.explode(F.when(F.col("inside"), from_inner).otherwise(F.concat(among, to_inner))).alias("key"),
     )
-    of = data.select(F.col("doc_id").alias("_id"), "data")
-    full = placed.join(of, F.col("x") == F.col("_id")).select("p", "key.i", "key.j", "x", "comp", "block", "data")
+    counts = by_ids(data, dealt.select(F.col("x").alias("doc_id")).distinct(), "left_semi")
+    counts = counts.select(F.col("doc_id").alias("_id"), "data")
+    full = placed.join(counts, F.col("x") == F.col("_id")).select("p", "key.i", "key.j", "x", "comp", "block", "data")
     sorted_rows = full.repartition(shuffle_partitions(told.sparkSession), "p", "i", "j").sortWithinPartitions("p", "i", "j")
     return sorted_rows.mapInArrow(partial(_join_blocks, threshold=threshold), "p long, x long").distinct()
 
@@ -413,15 +454,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         by_ids(prefixes.select("doc_id", F.concat(F.substring("sig", 1, 8), "counts").alias("data")), crowd, "left_semi"),
         "class-counts",
     )
+    of = materialize(by_ids(known.select("doc_id", "n"), crowd, "left_semi"), "crowd-sizes")
+    pairs = materialize(_with_far(pairs, of, threshold), "pair-sizes")
+    near, no = pairs.where("NOT far").select("p", "x"), F.lit(False)
+    ids = materialize(near.select(F.col("p").alias("doc_id")).union(near.select("x")).distinct(), "near-crowd")
+    compared = _star(
+        near, by_ids(data, ids, "left_semi"), partial(_counts_compare, threshold=threshold),
+        "p long, x long, v0 boolean, v1 boolean",
+    )
     told = materialize(
-        _star(pairs, data, partial(_counts_compare, threshold=threshold), "p long, x long, v0 boolean, v1 boolean"),
-        "pivot-distances",
+        compared.unionByName(pairs.where("far").select("p", "x", no.alias("v0"), no.alias("v1"))), "pivot-distances"
     )
     links = materialize(
         _verified(texts, told.where("v0").select("p", "x"), words, threshold), "pivot-links"
     )
     comps = components(_links(links, equal, known))
-    left = materialize(_open_pairs(told, links, comps, data, threshold), "open-pairs")
+    left = materialize(_open_pairs(told, links, comps, data, of, threshold), "open-pairs")
     if not left.isEmpty():
         more = materialize(_verified(texts, left, words, threshold), "more-links")
         comps = components(_links(links.unionByName(more), equal, known))

@@ -132,6 +132,53 @@ def test_pivots_take_one_shuffle_of_the_shingles(spark):
     assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (2, 5)]
 
 
+def test_data_of_a_pivot_is_sent_once_for_few_pairs(spark):
+    few = [(p, 1000 * p + k) for p in range(20) for k in range(1, 6)]
+    many = [(99, 10_000 + k) for k in range(40 * jaccard_join.STAR)]
+    blocks = {}
+    for p, x, block in jaccard_join._dealt(spark.createDataFrame(few + many, "p long, x long"), 8).collect():
+        blocks.setdefault(p, set()).add(block)
+    assert all(len(blocks[p]) == 1 for p in range(20)) and blocks[99] == set(range(8))
+
+
+def test_documents_far_in_size_are_not_compared(spark, docs, monkeypatch):
+    """Texts that share a line but not their size: sizes tell most of them apart."""
+    rng = random.Random(12)
+    line = [f"l{i}" for i in range(8)]
+
+    def text(k):
+        return " ".join(line + [f"w{k}x{i}" for i in range(rng.choice([0, 12, 60, 240]))])
+
+    rows = [(k, text(k)) for k in range(60)]
+    rows += [(100 + k, v) for k, v in enumerate(variants(rng, ["n"], 80, [1, 2, 3, 4]))]
+    rows += [(7, text(500)), (7, rows[3][1])]  # an id with sets of several sizes
+    sent, star = [], jaccard_join._star
+
+    def watched(pairs, *args):
+        sent.append({tuple(r) for r in pairs.collect()})
+        return star(pairs, *args)
+
+    monkeypatch.setattr(jaccard_join, "_star", watched)
+    assert joined(docs(rows)) == brute(rows)
+    sizes = {}
+    for doc_id, s in zip([r[0] for r in rows], sh.shingle_sets([r[1] for r in rows])):
+        sizes.setdefault(doc_id, []).append(len(s))
+    beyond = jaccard_join.Threshold(80, 100).beyond
+    for p, x in sent[0]:
+        assert any(not beyond(abs(a - b), a + b) for a in sizes[p] for b in sizes[x])
+
+
+def test_regions_lose_documents_of_a_size_of_their_own(spark):
+    rows = [(1, 10, 5), (1, 11, 5), (1, 12, 5), (1, 13, 5), (2, 10, 2), (2, 14, 2), (3, 15, jaccard_join.SORTED + 1)]
+    of = [(10, 100), (11, 80), (12, 300), (13, 10), (13, 376), (14, 79), (15, 7)]
+    dealt = spark.createDataFrame(rows, "p long, x long, rows long")
+    got = jaccard_join._met_by_size(dealt, spark.createDataFrame(of, "doc_id long, n long"), jaccard_join.Threshold(80, 100))
+    assert sorted(r[:2] for r in got.collect()) == [(1, 10), (1, 11), (3, 15)]
+    of[5] = (13, 375)  # 300 is 80 % of it
+    got = jaccard_join._met_by_size(dealt, spark.createDataFrame([*of, (13, 375)], "doc_id long, n long"), jaccard_join.Threshold(80, 100))
+    assert (1, 12) in [r[:2] for r in got.collect()] and (1, 13) in [r[:2] for r in got.collect()]
+
+
 def test_copies_with_ids_that_have_other_sets(spark, docs):
     rng = random.Random(5)
     a, b, c = ([f"{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "abc")
